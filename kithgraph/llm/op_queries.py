@@ -17,6 +17,24 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), size=3, percent=85)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kithgraph.llm.scratch import Scratch
+    from kithgraph.llm.token_files import read_tokens, write_tokens
+
+    tmp = Scratch(spark, "tokens")
+    folder = write_tokens(_docs(spark, sf_dir), tmp.path("ids"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    tmp.drop("ids/temp")
+    return read_tokens(spark, folder)
+
+
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithgraph.llm.quality_gam import quality_scores
+
+    return quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
