@@ -29,6 +29,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
+def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithgraph.llm.secrets_automaton import secret_spans
+
+    return secret_spans(_docs(spark, sf_dir))
+
+
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithgraph.llm.quality_gam import quality_scores
 
