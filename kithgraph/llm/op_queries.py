@@ -29,6 +29,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithgraph.llm.quality_rules import quality_rules
+
+    return quality_rules(_docs(spark, sf_dir))
+
+
 def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithgraph.llm.secrets_automaton import secret_spans
 
@@ -52,4 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kithgraph.llm import quality_rules
+
+    return {"op4_quality_rules": quality_rules.SQL}
