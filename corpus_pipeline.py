@@ -1,17 +1,74 @@
-"""A corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""A corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents; the last returns the token files' digest of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kithgraph.llm.minhash import near_duplicates
+from kithgraph.llm.mixing import mixed
+from kithgraph.llm.quality_gam import quality_scores
 from kithgraph.llm.scratch import Scratch
+from kithgraph.llm.simhash import without_leaks
+from kithgraph.llm.token_files import read_tokens, write_tokens
+
+#: Of the expected words of the mixture: toxic text gets none.
+WEIGHTS = {"clean": 0.98, "junk": 0.02, "toxic": 0.0}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``; those with a null id stay."""
+    return docs.join(ids.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality_scores(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 0").select("doc_id").distinct())
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id."""
+    return _without(docs, near_duplicates(docs.select("doc_id", "text"), size=5, percent=80).where("not kept").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return without_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at rates that give the domains their target weights."""
+    return mixed(docs, _table(spark, sf_dir, "labels"), WEIGHTS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the token files."""
+    import public_tokenizers
+
+    tmp = Scratch(spark, "tokens")
+    folder = write_tokens(docs, tmp.path("ids"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    tmp.drop("ids/temp")
+    return read_tokens(spark, folder)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+#: The stages fit models and search by sketches, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tmp = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, tmp = _table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = tmp.save(stage(spark, docs, sf_dir), f"{k}_{name}")
+        if k:
+            tmp.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
