@@ -35,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithgraph.llm.surrogates import with_surrogates
+
+    return with_surrogates(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithgraph.llm.secrets_automaton import secret_spans
 
