@@ -41,6 +41,12 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_surrogates(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithgraph.llm.line_dedup import line_report
+
+    return line_report(_docs(spark, sf_dir))
+
+
 def op7_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithgraph.llm.secrets_automaton import secret_spans
 

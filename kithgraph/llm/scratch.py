@@ -7,6 +7,7 @@ The folder is the one named by ``spark.checkpoint.dir``. Only where a session na
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Scratch:
         for name in names:
             self._delete(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps whose tables have been saved."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
