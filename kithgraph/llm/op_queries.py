@@ -29,6 +29,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder)
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithgraph.llm.licenses import licences
+
+    return licences(_docs(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithgraph.llm.quality_rules import quality_rules
 
