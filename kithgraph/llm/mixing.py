@@ -74,7 +74,9 @@ def _learn(rows: DataFrame, known: DataFrame, most: int) -> tuple[dict[str, floa
         return {}, {}
     n = {d: total[k] for k, d in enumerate(names)}
     whole = sum(n.values())
-    lift = [F.log((F.col(f"`{d}`") + 0.5) / (n[d] + 1) / ((sum((F.col(f"`{e}`") for e in names if e != d), F.lit(0)) + 0.5) / (whole - n[d] + 1))) for d in names]
+    rest = {d: sum((F.col(f"`{e}`") for e in names if e != d), F.lit(0)) + 0.5 for d in names}
+    # the logarithm of the lift, less 2.5 standard errors
+    lift = [F.log((F.col(f"`{d}`") + 0.5) / (n[d] + 1) / (rest[d] / (whole - n[d] + 1))) - 2.5 * F.sqrt(1 / (F.col(f"`{d}`") + 0.5) + 1 / rest[d]) for d in names]
     worth = F.greatest(*[F.when((F.col(f"`{d}`") >= max(4.0, SUPPORT * n[d])) & (x > math.log(4)), F.col(f"`{d}`") * x).otherwise(0.0) for d, x in zip(names, lift, strict=True)], F.lit(0.0))
     told = counts.where("f <> '' and not startswith(f, '#')").withColumn("worth", worth).where("worth > 0").orderBy(F.desc("worth"), "f").limit(most).drop("worth")
     bands = counts.where("startswith(f, '#')")
@@ -98,15 +100,25 @@ def _posteriors(rows: DataFrame, base: dict[str, float], adds: dict[str, dict[st
     found = F.concat("shape", F.array_intersect(F.concat("terms", "starts"), telling))
     rows = rows.select("doc_id", "words", found.alias("found"))
     values = F.create_map(*[x for k, v in sorted(adds.items()) for x in (F.lit(k), F.array(*[F.lit(v[d]) for d in names]))])
-    rows = rows.withColumn("adds", F.transform("found", lambda f: F.coalesce(F.try_element_at(values, f), F.array(*[F.lit(0.0)] * len(names)))))
+    zero = F.array(*[F.lit(0.0)] * len(names))
 
     def plus(k: int):
         return lambda s, x: s + x[k]
 
-    score = [F.aggregate("adds", F.lit(base[d]), plus(k)) for k, d in enumerate(names)]
-    rows = rows.select("doc_id", "words", F.array(*score).alias("s")).withColumn("top", F.array_max("s"))
-    rows = rows.withColumn("e", F.transform("s", lambda x: F.exp(x - F.col("top"))))
-    return rows.select("doc_id", "words", F.expr("transform(e, x -> round(x / aggregate(e, 0D, (a, b) -> a + b), 3))").alias("p"))
+    def scores(adds: Column) -> Column:
+        return _let(F.array(*[F.aggregate(adds, F.lit(base[d]), plus(k)) for k, d in enumerate(names)]), chances)
+
+    def chances(s: Column) -> Column:
+        e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+        return _let(e, lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), 3)))
+
+    adds = F.transform("found", lambda f: F.coalesce(F.try_element_at(values, f), zero))
+    return rows.select("doc_id", "words", _let(adds, scores).alias("p"))
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _fold(errors: list[list[float]], ridge: float) -> Column:
