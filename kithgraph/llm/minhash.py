@@ -9,10 +9,9 @@ A document's sketch is the k smallest hashes of its distinct word shingles. The
 3. In lists of up to ``short`` documents the pairs are compared by the estimate of the union's
    sketch. In longer lists, which hold near copies of one text, all documents are tied to the
    first one, without a test: this only widens the group in which the next step looks.
-4. Each tied group is cut into blocks. In a block, pairs that pass the sketch estimate are
-   verified on the full sets, the likeliest first, skipping pairs that are connected already.
-   A group of many blocks shares one pivot document among them; only documents that no block has
-   connected with the pivot are then held against the other blocks.
+4. Each tied group is cut into blocks. In a block all pairs are verified on the full sets, by
+   products of 0/1 matrices. A group of many blocks shares one pivot document among them; only
+   documents that no block has connected with the pivot are then held against the other blocks.
 
 Links are exact (full sets). What can be missed is bounded by the sketch alone: a linked pair of
 which the union's k smallest values hold fewer than ``shared(n)`` common ones, less than one in 10^9.
@@ -95,57 +94,65 @@ class _Forest:
         return a != b
 
 
-def _block_links(ids: np.ndarray, left: np.ndarray, sets: list[np.ndarray], k: int, percent: int, same: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Exact links that connect what the block can connect. left: rows of which one must be in each pair (all, if all are true)."""
-    forest, out, n = _Forest(len(ids)), [], np.array([len(x) for x in sets])
-    if same is not None:
-        first: dict[int, int] = {}
-        for i, c in enumerate(same.tolist()):
-            forest.tie(i, first.setdefault(c, i))
-    sketches = [x[:k] for x in sets]
-    flat = np.concatenate(sketches) if len(sketches) else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(ids)), [len(x) for x in sketches])
-    values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = count[column] > 1
-    if not often.any():
+def _common(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
+    """Sizes of all intersections of a block's sets; ``columns`` values are multiplied at a time."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    if not sets:
         return out
-    _, column = np.unique(column[often], return_inverse=True)
-    marks = np.zeros((len(ids), int(column.max()) + 1), np.float32)
-    marks[row[often], column] = 1
-    rows = np.flatnonzero(left)
-    common = marks[rows] @ marks.T
-    need = np.array([shared(int(x), k, percent) for x in n])
-    a, b = np.nonzero((common >= np.minimum(need[rows][:, None], need[None, :])) & (100 * np.minimum(n[rows][:, None], n[None, :]) >= percent * np.maximum(n[rows][:, None], n[None, :])))
-    c, a = common[a, b], rows[a]
-    once = (a < b) | ~left[b] & (a != b)
-    a, b, c = a[once], b[once], c[once]
-    for i in np.argsort(-c / np.maximum(1, np.minimum(np.minimum(n[a], n[b]), k)), kind="stable"):
-        x, y = int(a[i]), int(b[i])
-        if forest.root(x) == forest.root(y):
-            continue
-        both = np.union1d(sketches[x], sketches[y])[:k]  # the sketch of the union
-        hits = int((np.isin(both, sketches[x], assume_unique=True) & np.isin(both, sketches[y], assume_unique=True)).sum())
-        if hits < (min(need[x], need[y]) if max(n[x], n[y]) > k else 1):
-            continue
-        inter = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        if 100 * inter >= percent * (n[x] + n[y] - inter):
-            forest.tie(x, y)
-            out.append((int(ids[x]), int(ids[y])))
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    row, column = row[often], column[often]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, [at, at + columns])
+        marks = np.zeros((len(sets), int(place[hi - 1]) - at + 1), np.float32)
+        marks[row[lo:hi], place[lo:hi] - at] = 1
+        out += marks @ marks.T
     return out
 
 
-def _verify(size: int, k: int, percent: int):
-    """For grouped rows (doc_id, text, role): role 0 is one side, 1 the other; without 1 all pairs of the block count."""
+def _block(table: pa.Table, size: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's ids, and the places of all its linked pairs."""
+    sets = [x for _, x in words.shingle_sets(table.column("text"), size)]
+    n = np.array([len(x) for x in sets], np.int64)
+    common = np.rint(_common(sets)).astype(np.int64)
+    a, b = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1) & (common > 0))
+    return table.column("doc_id").to_numpy(), a, b
+
+
+def _connect(size: int, percent: int):
+    """For a whole group in one block: (node, component) of its linked documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, a, b = _block(table.sort_by("doc_id"), size, percent)
+        forest = _Forest(len(ids))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            forest.tie(x, y)
+        held = np.unique(np.concatenate([a, b]))
+        return pa.table({"node": pa.array(ids[held], pa.int64()), "component": pa.array([int(ids[forest.root(x)]) for x in held.tolist()], pa.int64())})
+
+    return run
+
+
+def _verify(size: int, percent: int):
+    """Links that connect what a block can connect, beyond what column ``same`` says is connected already.
+
+    role 0 is one side of the pairs, 1 the other; without 1 all pairs of the block count.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids, a, b = _block(table, size, percent)
         role = table.column("role").to_numpy()
-        same = table.column("same").to_numpy()
-        sets = [x for _, x in words.shingle_sets(table.column("text"), size)]
-        left = role == 0
-        links = _block_links(ids, left if (~left).any() else np.ones(len(ids), bool), sets, k, percent, same)
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        forest, first = _Forest(len(ids)), {}
+        for i, c in enumerate(table.column("same").to_pylist()):
+            forest.tie(i, first.setdefault(c, i))
+        one_side = bool((role == 0).all())
+        links = [(int(ids[x]), int(ids[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True) if (one_side or role[x] != role[y]) and forest.tie(x, y)]
+        x, y = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return run
 
@@ -164,14 +171,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     nodes = tmp.save(nodes, "nodes")
     tied = _tied(nodes, k, percent, short, tmp)
     groups = tmp.save(components(spark, tied, scratch=tmp).withColumnsRenamed({"node": "rep", "component": "g"}), "groups")
-    links = _links(texts, groups, size, k, percent, block, tmp)
-    found = tmp.save(components(spark, links, scratch=tmp), "found")
+    found = tmp.save(_components(texts, groups, size, percent, block, tmp), "found")
     whose = nodes.select("k1", "k2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("c"))
     joined = sets.drop("sketch").join(whose.withColumnsRenamed({"k1": "r1", "k2": "r2", "n": "r"}), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("n") == F.col("r")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
     out = tmp.save(out, "out")
-    tmp.drop("sets", "nodes", "tied", "groups", "found")
+    tmp.drop("sets", "nodes", "lists", "tied", "groups", "held", "links1", "so_far", "now", "links2", "found")
     return out
 
 
@@ -199,22 +205,24 @@ def _tied(nodes: DataFrame, k: int, percent: int, short: int, tmp: Scratch) -> D
     return tmp.save(long.unionByName(near), "tied")
 
 
-def _links(texts: DataFrame, groups: DataFrame, size: int, k: int, percent: int, block: int, tmp: Scratch) -> DataFrame:
-    """Verified links within each tied group; see the module's step 4."""
-    check = _verify(size, k, percent)
+def _components(texts: DataFrame, groups: DataFrame, size: int, percent: int, block: int, tmp: Scratch) -> DataFrame:
+    """(node, component) of the linked documents; see the module's step 4."""
+    spark, check = texts.sparkSession, _verify(size, percent)
     sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
     member = groups.join(sizes, "g").withColumn("part", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), "blocks")).otherwise(0))
-    held = tmp.save(member.join(texts, F.col("rep") == F.col("doc_id")).select("g", "blocks", "part", "doc_id", "text"), "held")
+    # one plan at every size: the texts are dealt by id
+    held = tmp.save(texts.hint("merge").join(member, F.col("rep") == F.col("doc_id")).select("g", "blocks", "part", "doc_id", "text"), "held")
+    done = held.where("blocks = 1").groupBy("g").applyInArrow(_connect(size, percent), "node long, component long")
     many = held.where("blocks > 1")
+    if many.limit(1).count() == 0:
+        return done
     pivot = many.groupBy("g", "blocks").agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("doc_id")).alias("p"))
     spread = pivot.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "p.doc_id", "p.text")
-    one = held.select("g", "part", "doc_id", "text").unionByName(spread).distinct()
+    one = many.select("g", "part", "doc_id", "text").unionByName(spread).distinct()
     one = one.select("g", "part", "doc_id", "text", F.lit(0).alias("role"), F.col("doc_id").alias("same"))
     first = tmp.save(one.groupBy("g", "part").applyInArrow(check, "a long, b long"), "links1")
-    if many.limit(1).count() == 0:
-        return first
-    # what a block has connected already, as seen from the pivots
-    so_far = tmp.save(components(texts.sparkSession, first, scratch=tmp), "so_far")
+    # what the blocks have connected, as seen from the pivots
+    so_far = tmp.save(components(spark, first, scratch=tmp), "so_far")
     heads = pivot.select("g", F.col("p.doc_id").alias("head")).join(so_far, F.col("head") == F.col("node"), "left").select("g", F.coalesce("component", "head").alias("main"))
     now = many.join(so_far, F.col("doc_id") == F.col("node"), "left").withColumn("same", F.coalesce("component", "doc_id")).drop("node", "component").join(heads, "g")
     now = tmp.save(now, "now")
@@ -223,5 +231,5 @@ def _links(texts: DataFrame, groups: DataFrame, size: int, k: int, percent: int,
     rest = rest.join(parts, "g").withColumn("out", F.pmod(F.xxhash64("doc_id", F.lit(1)), "outs"))
     a = rest.select("g", "out", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "doc_id", "text", F.lit(0).alias("role"), "same")
     b = now.join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("out"), "part", "doc_id", "text", F.lit(1).alias("role"), "same")
-    second = a.unionByName(b).groupBy("g", "out", "part").applyInArrow(check, "a long, b long")
-    return first.unionByName(tmp.save(second, "links2"))
+    second = tmp.save(a.unionByName(b).groupBy("g", "out", "part").applyInArrow(check, "a long, b long"), "links2")
+    return done.unionByName(components(spark, first.unionByName(second), scratch=tmp))
