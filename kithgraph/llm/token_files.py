@@ -17,6 +17,7 @@ gives no blocks.
 from __future__ import annotations
 
 import array
+import gc
 import hashlib
 import json
 import re
@@ -79,11 +80,11 @@ _WORD_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PLAIN = re.compile('([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:()"#$%&*-]*)')
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> dict[int, int]:
     """The character by which byte-level tokenizers write each byte: itself if it prints, else 256 and on."""
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = iter(range(256, 512))
-    return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
+    return {b: b if b in prints else next(rest) for b in range(256)}
 
 
 class _Encoder(dict):
@@ -99,30 +100,34 @@ class _Encoder(dict):
         extra = [x["content"] for x in kind.get("added_tokens") or [] if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or re.search(r"\s", x["content"])]
         self.by_word = norm == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": _WORD_LEVEL} and not extra and kind["model"].get("dropout") is None
         self.letters = _byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.forget(None)
 
     def forget(self, end: int | None) -> None:
         self.clear()
-        self.pieces.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
         self.flat, self.at, self.end = array.array("I"), array.array("q", [0]), end
 
-    def _piece(self, text: str) -> list[int]:
-        if text not in self.pieces:
-            spelled = "".join(self.letters[b] for b in text.encode())
-            self.pieces[text] = [x.id for x in self.tokenizer.model.tokenize(spelled)]
-        return self.pieces[text]
+    def _piece(self, text: str) -> bytes:
+        spelled = text.encode().decode("latin-1").translate(self.letters)
+        found = self.pieces[text] = array.array("I", [x.id for x in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return found
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
+        text, flat, pieces = word.decode("utf-8", "replace"), self.flat, self.pieces
         if m := _PLAIN.fullmatch(text):
-            ids = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else [])
+            head, tail = m.groups()
+            head = head.lower()
+            flat.frombytes(pieces.get(head) or self._piece(head))
+            if tail:
+                flat.frombytes(pieces.get(tail) or self._piece(tail))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self._put(word, ids)
+            flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._close(word)
 
-    def _put(self, word: bytes, ids: list[int]) -> int:
-        self.flat.extend(ids)
+    def _close(self, word: bytes) -> int:
+        """The ids added to ``flat`` since the last word are this word's."""
         self.at.append(len(self.flat))
         self[word] = k = len(self.at) - 2
         return k
@@ -134,15 +139,20 @@ class _Encoder(dict):
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         if self.end != end or len(self) > REMEMBERED:
             self.forget(end)
-            self._put(b" ", [end])  # no word is a space
+            self.flat.append(end)
+            self._close(b" ")  # no word is a space
         split: list[bytes] = []
         counts = []
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects, no cycles
         for t in texts:
-            own = t.split()
+            own = (t if b"<|" in t else t.lower()).split()  # special tokens are told from text by case
             own.append(b" ")
             split += own
             counts.append(len(own))
         index = np.fromiter(map(self.__getitem__, split), np.int64, len(split))
+        if collecting:
+            gc.enable()
         at, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint32)
         start = at[index]
         size = at[index + 1] - start
