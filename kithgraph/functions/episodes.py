@@ -58,8 +58,9 @@ def round_of(text: Column) -> Column:
     """company, amount and investors of an announcement: a struct; the names after each cue, up to the sentence's end."""
     company = F.regexp_extract(text, f"^\\s*({_NAME}|\\p{{Lu}}[\\w.-]+)[^.]{{0,60}}?\\b(?:raises|raised|secures|secured|closes|closed)\\b", 1)
     amount = F.regexp_extract(text, "([$€£]\\s?\\d+(?:\\.\\d+)?\\s?(?:[MBK]\\b|million|billion)?)", 1)
-    spans = F.regexp_extract_all(text, F.lit(f"(?i)\\b(?:{_CUES})\\s+([^.;]{{1,220}})"), 1)
-    parts = F.flatten(F.transform(spans, lambda s: F.split(F.regexp_replace(s, f"(?i)\\b(?:{_CUES})\\b.*$", ""), "\\s*,\\s*(?:and\\s+)?|\\s+and\\s+")))
+    marked = F.regexp_replace(text, f"(?i)[,\\s]*\\b({_CUES})\\b", "; $1")  # a cue ends what the one before it names
+    spans = F.regexp_extract_all(marked, F.lit(f"(?i)\\b(?:{_CUES})\\s+([^.;]{{1,220}})"), 1)
+    parts = F.flatten(F.transform(spans, lambda s: F.split(s, "\\s*,\\s*(?:and\\s+)?|\\s+and\\s+")))
     kept = F.filter(F.transform(parts, lambda x: F.regexp_extract(x, "^((?:\\p{Lu}[\\w&.'-]*\\s?){1,5})", 1)), lambda x: F.trim(x) != "")
     return F.struct(F.nullif(F.trim(company), F.lit("")).alias("company"), F.nullif(F.trim(amount), F.lit("")).alias("amount"), F.slice(F.array_distinct(F.transform(kept, F.trim)), 1, 12).alias("investors"))
 
