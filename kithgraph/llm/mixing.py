@@ -31,24 +31,21 @@ from kithgraph.llm.scratch import Scratch
 DOMAIN = "case when toxic = 1 then 'toxic' when quality = 0 then 'junk' when quality = 1 then 'clean' end"
 #: Share of a domain's labelled documents that hold a telling word, at least.
 SUPPORT = 0.02
-_MARKS = ".,;:!?\"'()"
-
-
-def _words(text: str) -> Column:
-    plain = F.lower(F.translate(F.col(text), _MARKS, " " * len(_MARKS)))
-    return F.array_distinct(F.filter(F.split(plain, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-
-
+#: How much likelier a telling word is in its domain than elsewhere, at least, with 2.5 standard errors taken off.
+LIFT = 20
 def _band(name: str, value: Column, cuts: tuple[float, ...]) -> Column:
     band = sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     return F.concat(F.lit(f"#{name}"), band.cast("string"))
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, words (their number), shape (band names), terms (distinct words), starts (of longer words)."""
+    """doc_id, words (their number), shape (band names), terms (distinct words), starts (their first five letters)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    left = lambda chars: F.char_length("text") - F.char_length(F.translate("text", chars, ""))
-    rows = rows.select("doc_id", F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long").alias("words"), F.char_length("text").alias("chars"), left("#*$%&|<>").alias("symbols"), left("!").alias("exclaims"), left("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"), _words("text").alias("terms"))
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    split = F.split(F.lower("text"), "[\\x20\\x09-\\x0D.,;:!?\"'()]+")
+    rows = rows.select("doc_id", F.char_length("text").alias("chars"), count("[#*$%&|<>]").alias("symbols"), count("!").alias("exclaims"), count("[A-Z]").alias("capitals"), split.alias("split"))
+    rows = rows.select("doc_id", "chars", "symbols", "exclaims", "capitals", F.array_remove("split", "").alias("split"))
+    rows = rows.select("doc_id", "chars", "symbols", "exclaims", "capitals", F.size("split").cast("long").alias("words"), F.array_distinct("split").alias("terms"))
     many = F.greatest(F.col("words"), F.lit(1))
     shape = F.array(
         _band("symbols", F.col("symbols") / many, (0.05, 0.3, 0.8)),
@@ -57,15 +54,18 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _band("distinct", F.size("terms") / many, (0.15, 0.3, 0.5)),
         _band("length", F.log2(many), (3, 5, 7)),
     )
-    starts = F.array_distinct(F.transform(F.filter("terms", lambda w: F.char_length(w) > 5), lambda w: F.concat(F.lit("~"), F.substring(w, 1, 5))))
-    return rows.select("doc_id", "words", shape.alias("shape"), "terms", starts.alias("starts"))
+    return rows.select("doc_id", "words", shape.alias("shape"), "terms", F.transform("terms", lambda w: F.substring(w, 1, 5)).alias("starts"))
 
 
-def _learn(rows: DataFrame, known: DataFrame, most: int) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+def _learn(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col: str, tmp: Scratch) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
     """Of each domain the score of a text without features, and what each feature adds."""
-    train = rows.join(F.broadcast(known), "doc_id")  # known has max_train rows at most
-    train = train.select("domain", F.explode(F.concat(F.array(F.lit("")), "shape", "terms", "starts")).alias("f"))
+    texts = docs.select(F.col(id_col).cast("long").alias("known_id"), F.col(text_col).alias("known_text"))
+    texts = texts.join(F.broadcast(known), F.col("known_id") == F.col("doc_id"))  # known has max_train rows at most
+    texts = tmp.save(texts.select("doc_id", "known_text", "domain"), "known_texts")
+    starts = F.transform(F.array_distinct("starts"), lambda x: F.concat(F.lit("~"), x))
+    train = _described(texts, "doc_id", "known_text").join(F.broadcast(known), "doc_id").select("domain", F.explode(F.concat(F.array(F.lit("")), "shape", "terms", starts)).alias("f"))
     counts = train.groupBy("f").pivot("domain", sorted(r["domain"] for r in known.select("domain").distinct().collect())).agg(F.count(F.lit(1))).na.fill(0)
+    counts = tmp.save(counts, "counts")
     names = [c for c in counts.columns if c != "f"]
     if not names:
         return {}, {}
@@ -77,7 +77,7 @@ def _learn(rows: DataFrame, known: DataFrame, most: int) -> tuple[dict[str, floa
     rest = {d: sum((F.col(f"`{e}`") for e in names if e != d), F.lit(0)) + 0.5 for d in names}
     # the logarithm of the lift, less 2.5 standard errors
     lift = [F.log((F.col(f"`{d}`") + 0.5) / (n[d] + 1) / (rest[d] / (whole - n[d] + 1))) - 2.5 * F.sqrt(1 / (F.col(f"`{d}`") + 0.5) + 1 / rest[d]) for d in names]
-    worth = F.greatest(*[F.when((F.col(f"`{d}`") >= max(4.0, SUPPORT * n[d])) & (x > math.log(4)), F.col(f"`{d}`") * x).otherwise(0.0) for d, x in zip(names, lift, strict=True)], F.lit(0.0))
+    worth = F.greatest(*[F.when((F.col(f"`{d}`") >= max(4.0, SUPPORT * n[d])) & (x > math.log(LIFT)), F.col(f"`{d}`") * x).otherwise(0.0) for d, x in zip(names, lift, strict=True)], F.lit(0.0))
     told = counts.where("f <> '' and not startswith(f, '#')").withColumn("worth", worth).where("worth > 0").orderBy(F.desc("worth"), "f").limit(most).drop("worth")
     bands = counts.where("startswith(f, '#')")
     base = {d: math.log(max(n[d], 0.5) / whole) for d in names}
@@ -94,10 +94,10 @@ def _learn(rows: DataFrame, known: DataFrame, most: int) -> tuple[dict[str, floa
 
 def _posteriors(rows: DataFrame, base: dict[str, float], adds: dict[str, dict[str, float]]) -> DataFrame:
     names = sorted(base)
-    keys = sorted(k for k in adds if not k.startswith("#"))
+    texts = lambda keys: F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
+    terms, starts = sorted(k for k in adds if k[0] not in "#~"), sorted(k[1:] for k in adds if k[0] == "~")
     # of words and of word starts the telling ones alone remain
-    telling = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
-    found = F.concat("shape", F.array_intersect(F.concat("terms", "starts"), telling))
+    found = F.concat("shape", F.array_intersect("terms", texts(terms)), F.transform(F.array_intersect("starts", texts(starts)), lambda x: F.concat(F.lit("~"), x)))
     rows = rows.select("doc_id", "words", found.alias("found"))
     values = F.create_map(*[x for k, v in sorted(adds.items()) for x in (F.lit(k), F.array(*[F.lit(v[d]) for d in names]))])
     zero = F.array(*[F.lit(0.0)] * len(names))
@@ -141,7 +141,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(domain).alias("domain")).where("doc_id is not null and domain is not null")
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     known = tmp.save(known, "known")
-    base, adds = _learn(_described(docs, id_col, text_col), known, most_features)
+    base, adds = _learn(docs, known, most_features, id_col, text_col, tmp)
     names = sorted(base)
     if not names:
         rows = _described(docs, id_col, text_col)
