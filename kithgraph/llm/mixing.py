@@ -4,7 +4,7 @@ A naive Bayes classifier, learned from a labelled table, gives each document a p
 Its features are the shape of the text (in bands) and the presence of words and word starts that are
 telling for one domain. Then nonnegative document rates are fitted by projected gradient descent on
 least squares: the sum of rate x words x posterior is to match each domain's target, each domain's error
-weighted by the inverse of its share, and a small ridge keeps rates near 1 where nothing else decides.
+weighted by the inverse of its share, and a ridge keeps rates near 1 where nothing else decides (targets that the posteriors can't reach are met as nearly as that allows).
 The step of a document is divided by its words, so that documents of one posterior keep one rate. The
 error of each round is summed over all documents' posteriors, in Spark; the driver holds one number for
 each domain and round. All of it is SQL functions: no Python runs on rows.
@@ -57,7 +57,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "words", shape.alias("shape"), "terms", F.transform("terms", lambda w: F.substring(w, 1, 5)).alias("starts"))
 
 
-def _learn(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col: str, tmp: Scratch) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+def _learn(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col: str, tmp: Scratch) -> tuple[dict[str, float], dict[str, dict[str, float]], dict[str, list[str]]]:
     """Of each domain the score of a text without features, and what each feature adds."""
     texts = docs.select(F.col(id_col).cast("long").alias("known_id"), F.col(text_col).alias("known_text"))
     texts = texts.join(F.broadcast(known), F.col("known_id") == F.col("doc_id"))  # known has max_train rows at most
@@ -68,10 +68,10 @@ def _learn(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col:
     counts = tmp.save(counts, "counts")
     names = [c for c in counts.columns if c != "f"]
     if not names:
-        return {}, {}
+        return {}, {}, {}
     total = counts.where("f = ''").select(*[F.col(f"`{d}`").alias(f"n_{k}") for k, d in enumerate(names)]).first()
     if total is None:
-        return {}, {}
+        return {}, {}, {}
     n = {d: total[k] for k, d in enumerate(names)}
     whole = sum(n.values())
     rest = {d: sum((F.col(f"`{e}`") for e in names if e != d), F.lit(0)) + 0.5 for d in names}
@@ -82,23 +82,38 @@ def _learn(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col:
     bands = counts.where("startswith(f, '#')")
     base = {d: math.log(max(n[d], 0.5) / whole) for d in names}
     adds: dict[str, dict[str, float]] = {}
+    whose: dict[str, list[str]] = {d: [] for d in names}
     for r in told.unionByName(bands).collect():  # at most ``most`` and a few bands
         chance = {d: (r[d] + 0.5) / (n[d] + 1) for d in names}
         if r["f"].startswith("#"):
             adds[r["f"]] = {d: math.log(chance[d]) for d in names}
-        else:  # presence is evidence, absence none: a domain may hold several kinds of text
+        else:
             mean = sum(chance[d] * n[d] for d in names) / whole
             adds[r["f"]] = {d: math.log(chance[d] / mean) for d in names}
-    return base, adds
+            whose[max(names, key=lambda d: (chance[d], d))].append(r["f"])  # noqa: B023
+    # that none of a domain's telling words is there is evidence, too (one of them being absent is not)
+    rows = _described(texts, "doc_id", "known_text").join(F.broadcast(known), "doc_id").withColumn("all", F.concat("terms", starts))
+    lacking = {d: ~F.arrays_overlap("all", _texts(whose[d])) for d in names if whose[d]}
+    if lacking:
+        found = {r["domain"]: r for r in rows.groupBy("domain").agg(F.count("*").alias("n"), *[F.count_if(x).alias(f"none_{k}") for k, x in enumerate(lacking.values())]).collect()}
+        for k, d in enumerate(lacking):
+            adds[f"!{d}"] = {c: math.log((found[c][f"none_{k}"] + 0.5) / (found[c]["n"] + 1)) if c in found else 0.0 for c in names}
+    return base, adds, whose
 
 
-def _posteriors(rows: DataFrame, base: dict[str, float], adds: dict[str, dict[str, float]]) -> DataFrame:
+def _texts(keys: list[str]) -> Column:
+    return F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
+
+
+def _posteriors(rows: DataFrame, base: dict[str, float], adds: dict[str, dict[str, float]], whose: dict[str, list[str]]) -> DataFrame:
     names = sorted(base)
-    texts = lambda keys: F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
-    terms, starts = sorted(k for k in adds if k[0] not in "#~"), sorted(k[1:] for k in adds if k[0] == "~")
+    terms, starts = sorted(k for k in adds if k[0] not in "#~!"), sorted(k[1:] for k in adds if k[0] == "~")
     # of words and of word starts the telling ones alone remain
-    found = F.concat("shape", F.array_intersect("terms", texts(terms)), F.transform(F.array_intersect("starts", texts(starts)), lambda x: F.concat(F.lit("~"), x)))
+    found = F.concat("shape", F.array_intersect("terms", _texts(terms)), F.transform(F.array_intersect("starts", _texts(starts)), lambda x: F.concat(F.lit("~"), x)))
     rows = rows.select("doc_id", "words", found.alias("found"))
+    lacking = [F.when(~F.arrays_overlap("found", _texts(whose[d])), F.lit(f"!{d}")) for d in names if whose.get(d)]
+    if lacking:
+        rows = rows.select("doc_id", "words", F.concat("found", F.array_compact(F.array(*lacking))).alias("found"))
     values = F.create_map(*[x for k, v in sorted(adds.items()) for x in (F.lit(k), F.array(*[F.lit(v[d]) for d in names]))])
     zero = F.array(*[F.lit(0.0)] * len(names))
 
@@ -130,7 +145,7 @@ def _fold(errors: list[list[float]], ridge: float) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - (push(e) + F.lit(ridge) * (r - 1)) / (1 + ridge)))
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = DOMAIN, total: float | None = None, rounds: int = 40, close: float = 1e-4, ridge: float = 1e-3, max_train: int = 10_000, most_features: int = 300, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = DOMAIN, total: float | None = None, rounds: int = 60, close: float = 1e-4, ridge: float = 0.05, max_train: int = 10_000, most_features: int = 300, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, words, domain (the likeliest), domains, p (of each of the domains), rate of each row.
 
     weights: of the domains' expected words in the mixture. total: words of the mixture; if none is
@@ -141,12 +156,12 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(domain).alias("domain")).where("doc_id is not null and domain is not null")
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     known = tmp.save(known, "known")
-    base, adds = _learn(docs, known, most_features, id_col, text_col, tmp)
+    base, adds, whose = _learn(docs, known, most_features, id_col, text_col, tmp)
     names = sorted(base)
     if not names:
         rows = _described(docs, id_col, text_col)
         return rows.select("doc_id", "words", F.lit(None).cast("string").alias("domain"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
-    rows = tmp.save(_posteriors(_described(docs, id_col, text_col), base, adds), "posteriors")
+    rows = tmp.save(_posteriors(_described(docs, id_col, text_col), base, adds, whose), "posteriors")
     profiles = tmp.save(rows.groupBy("p").agg(F.sum("words").cast("double").alias("words")), "profiles")
     held = profiles.agg(*[F.sum(F.col("words") * F.col("p")[k]).alias(f"w{k}") for k in range(len(names))]).first()
     own = {d: held[f"w{k}"] or 0.0 for k, d in enumerate(names)}
