@@ -16,8 +16,8 @@ from kithgraph.llm.scratch import Scratch
 from kithgraph.llm.simhash import without_leaks
 from kithgraph.llm.token_files import read_tokens, write_tokens
 
-#: Of the expected words of the mixture: toxic text gets none.
-WEIGHTS = {"clean": 0.98, "junk": 0.02, "toxic": 0.0}
+#: Of the expected words of the mixture: toxic text gets none, and junk that the first stage has left.
+WEIGHTS = {"clean": 1.0, "junk": 0.0, "toxic": 0.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at rates that give the domains their target weights."""
-    return mixed(docs, _table(spark, sf_dir, "labels"), WEIGHTS)
+    """Documents drawn at rates that give the domains their target weights; a clean document's rate is about 1."""
+    return mixed(docs, _table(spark, sf_dir, "labels"), WEIGHTS, unit=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,6 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _band("exclaims", F.col("exclaims") / many, (0.05, 0.3)),
         _band("capitals", F.col("capitals") / F.greatest(F.col("chars"), F.lit(1)), (0.1, 0.3)),
         _band("distinct", F.size("terms") / many, (0.15, 0.3, 0.5)),
-        _band("length", F.log2(many), (3, 5, 7)),
     )
     return rows.select("doc_id", "words", shape.alias("shape"), "terms", F.transform("terms", lambda w: F.substring(w, 1, 5)).alias("starts"))
 
@@ -86,7 +85,8 @@ def _learn(docs: DataFrame, known: DataFrame, most: int, id_col: str, text_col:
     for r in told.unionByName(bands).collect():  # at most ``most`` and a few bands
         chance = {d: (r[d] + 0.5) / (n[d] + 1) for d in names}
         if r["f"].startswith("#"):
-            adds[r["f"]] = {d: math.log(chance[d]) for d in names}
+            whole_share = (sum(r[d] for d in names) + 0.5) / (whole + 1)  # a rare band says little
+            adds[r["f"]] = {d: math.log((r[d] + 10 * whole_share) / (n[d] + 10)) for d in names}
         else:
             mean = sum(chance[d] * n[d] for d in names) / whole
             adds[r["f"]] = {d: math.log(chance[d] / mean) for d in names}
@@ -145,11 +145,12 @@ def _fold(errors: list[list[float]], ridge: float) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - (push(e) + F.lit(ridge) * (r - 1)) / (1 + ridge)))
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = DOMAIN, total: float | None = None, rounds: int = 60, close: float = 1e-4, ridge: float = 0.05, max_train: int = 10_000, most_features: int = 300, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = DOMAIN, total: float | None = None, rounds: int = 60, close: float = 1e-4, ridge: float = 0.05, max_train: int = 10_000, most_features: int = 300, unit: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, words, domain (the likeliest), domains, p (of each of the domains), rate of each row.
 
     weights: of the domains' expected words in the mixture. total: words of the mixture; if none is
-    given, the most for which no domain needs more words than it has. Rates are rounded to twentieths.
+    given, the most for which no domain needs more words than it has. unit: rates are scaled so that the
+    median, by words, of the documents of domains with a weight is 1. Rates are rounded to twentieths.
     """
     spark = docs.sparkSession
     tmp = scratch or Scratch(spark, "mixing")
@@ -178,7 +179,13 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
         if max(map(abs, error)) < close:
             break
         errors.append(error)
-    rate = F.round(_fold(errors, ridge) * 20, 0) / 20
+    scale = 1.0
+    if unit:
+        likely = F.array_position("p", F.array_max("p"))
+        wished = profiles.where(likely.isin(*[k + 1 for k, d in enumerate(names) if wanted[d] > 0])).withColumn("rate", _fold(errors, ridge))
+        middle = wished.agg(F.percentile("rate", 0.5, F.greatest(F.col("words").cast("long"), F.lit(1)))).first()[0]
+        scale = 1 / middle if middle else 1.0
+    rate = F.round(_fold(errors, ridge) * scale * 20, 0) / 20
     likeliest = F.element_at(F.array(*[F.lit(d) for d in names]), F.array_position("p", F.array_max("p")).cast("int"))
     return rows.select("doc_id", "words", likeliest.alias("domain"), F.array(*[F.lit(d) for d in names]).alias("domains"), "p", rate.alias("rate"))
 

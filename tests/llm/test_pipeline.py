@@ -1,3 +1,5 @@
+import itertools
+
 import corpus_pipeline
 
 
@@ -8,9 +10,10 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
         assert docs.columns == columns, name
-        docs = docs.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else docs.persist()
+        docs = docs.persist()
         held.append(docs.count())
-    assert sorted(held, reverse=True) == held and held[-1] > 0.6 * held[0]
+    assert sorted(held[:-1], reverse=True) == held[:-1]  # mixing may repeat documents
+    assert held[-1] > 0.6 * held[0]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).orderBy("start").collect()
     assert [r.doc_id for r in last] == sorted(r.doc_id for r in docs.collect())
-    assert [r.start for r in last] == [0, *__import__("itertools").accumulate(r.n_tokens for r in last)][:-1]
+    assert [r.start for r in last] == [0, *itertools.accumulate(r.n_tokens for r in last)][:-1]
