@@ -2,12 +2,15 @@
 
 A naive Bayes classifier, learned from a labelled table, gives each document a posterior over domains.
 Its features are the shape of the text (in bands) and the presence of words and word starts that are
-telling for one domain. Then nonnegative document rates are fitted by projected gradient descent on
-least squares: the sum of rate x words x posterior is to match each domain's target, each domain's error
-weighted by the inverse of its share, and a ridge keeps rates near 1 where nothing else decides (targets that the posteriors can't reach are met as nearly as that allows).
-The step of a document is divided by its words, so that documents of one posterior keep one rate. The
-error of each round is summed over all documents' posteriors, in Spark; the driver holds one number for
-each domain and round. All of it is SQL functions: no Python runs on rows.
+telling for one domain. Then nonnegative document rates are fitted by least squares: the sum of rate x
+words x posterior is to match each domain's target, each domain's error weighted by the inverse of its
+share, and a vanishing ridge picks the rates nearest 1 of all that do (targets that the posteriors can't
+reach are met as nearly as they allow). At the optimum a rate is 1 - multipliers . posterior, with one
+multiplier for each domain, held between 0 and ``repeats`` times the highest rate that undivided documents
+would need (so that no few documents are drawn hundreds of times for a target out of reach); these are found by Newton's steps, whose sums over all documents' posteriors
+Spark makes, and the driver holds a few numbers for each step.
+Posterior mass in a domain whose target is 0 has no rate: a document's rate is reduced by it, and is 0 where
+such domains have half of the mass or more. All of it is SQL functions: no Python runs on rows.
 
 The fit uses up to ``max_train`` labelled documents, the first by a hash of their id: a documented bound.
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,21 +140,70 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _fold(errors: list[list[float]], ridge: float) -> Column:
-    """The rate after the rounds so far, from a document's posterior p."""
-    if not errors:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
-    push = lambda e: F.aggregate(F.zip_with(e, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - (push(e) + F.lit(ridge) * (r - 1)) / (1 + ridge)))
+def _allowed(names: list[str], wanted: dict[str, float]) -> Column:
+    """The share of a document that may stay: its posterior mass in domains with a target, or none if that is half of it or less."""
+    mass = sum((F.col("p")[k] for k, d in enumerate(names) if wanted[d] > 0), F.lit(0.0))
+    return F.when(mass > 0.5, F.least(mass, F.lit(1.0))).otherwise(0.0)
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = DOMAIN, total: float | None = None, rounds: int = 60, close: float = 1e-4, ridge: float = 0.05, max_train: int = 10_000, most_features: int = 300, unit: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def _plain(shifts: list[float]) -> Column:
+    """1 - multipliers . posterior."""
+    return sum((F.lit(-x) * F.col("p")[k] for k, x in enumerate(shifts) if x), F.lit(1.0))
+
+
+def _rate(shifts: list[float], most: float) -> Column:
+    """The rate at the multipliers, from a document's posterior p and its share that may stay."""
+    return F.col("may") * F.greatest(F.lit(0.0), F.least(F.lit(most), _plain(shifts)))
+
+
+def _fitted(rows: DataFrame, names: list[str], own: dict[str, float], goal: dict[str, float], most: float, rounds: int, close: float, ridge: float) -> list[float]:
+    """The multipliers, by Newton's steps on the dual of the ridged least squares, damped until they descend."""
+    live = [k for k, d in enumerate(names) if goal[d] > 0 and own[d] > 0]
+    if not live:
+        return [0.0] * len(names)
+    size, aim = np.array([own[names[k]] for k in live]), np.array([goal[names[k]] for k in live])
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, gradient and second derivatives: one pass over the documents."""
+        used = rows.withColumn("z", _plain(_spread(x, live, len(names)))).where("may > 0 and z > 0")
+        used = used.select("z", F.least(F.col("z"), F.lit(most)).alias("rate"), (F.col("words") * F.col("may")).alias("held"), *[F.col("p")[k].alias(f"p{k}") for k in live])
+        drawn, free = F.col("held") * F.col("rate"), F.when(F.col("z") < most, F.col("held")).otherwise(0.0)
+        sums = [F.sum(drawn * (2 * F.col("z") - F.col("rate"))), *[F.sum(drawn * F.col(f"p{k}")) for k in live], *[F.sum(free * F.col(f"p{k}") * F.col(f"p{j}")) for k in live for j in live]]
+        v = np.array([float(y or 0.0) for y in used.agg(*sums).first()])
+        bend = v[1 + len(live) :].reshape(len(live), -1) + np.diag(ridge * size)
+        return v[0] / 2 + x @ aim + ridge / 2 * (size * x * x).sum(), aim - v[1 : 1 + len(live)] + ridge * size * x, bend
+
+    x, damp = np.zeros(len(live)), 0.01
+    value, slope, bend = at(x)
+    for _ in range(rounds):
+        if np.abs(slope / aim).max() < close:
+            break
+        step = -np.linalg.solve(bend + np.diag(damp * size), slope)
+        new = at(x + step)
+        if new[0] <= value + 1e-4 * (slope @ step):
+            x, (value, slope, bend), damp = x + step, new, damp / 10
+        elif damp > 1e3:
+            break  # the sums tell no more
+        else:
+            damp *= 8
+    return _spread(x, live, len(names))
+
+
+def _spread(x: np.ndarray, live: list[int], n: int) -> list[float]:
+    """Of all domains, those not live with 0; rounded, so that the order of sums doesn't show."""
+    out = [0.0] * n
+    for k, v in zip(live, x, strict=True):
+        out[k] = round(float(v), 12)
+    return out
+
+
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: str = DOMAIN, total: float | None = None, rounds: int = 60, close: float = 1e-7, ridge: float = 1e-4, repeats: float = 4.0, max_train: int = 10_000, most_features: int = 300, unit: bool = False, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, words, domain (the likeliest), domains, p (of each of the domains), rate of each row.
 
     weights: of the domains' expected words in the mixture. total: words of the mixture; if none is
     given, the most for which no domain needs more words than it has. unit: rates are scaled so that the
-    median, by words, of the documents of domains with a weight is 1. Rates are rounded to twentieths.
+    median, by words, of the documents of domains with a weight is 1. Rates are rounded to twentieths. repeats: no fitted rate is more than
+    that many times the highest that undivided documents would need, which is 1 or more.
     """
     spark = docs.sparkSession
     tmp = scratch or Scratch(spark, "mixing")
@@ -163,29 +216,22 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
         rows = _described(docs, id_col, text_col)
         return rows.select("doc_id", "words", F.lit(None).cast("string").alias("domain"), F.array().cast("array<string>").alias("domains"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
     rows = tmp.save(_posteriors(_described(docs, id_col, text_col), base, adds, whose), "posteriors")
-    profiles = tmp.save(rows.groupBy("p").agg(F.sum("words").cast("double").alias("words")), "profiles")
-    held = profiles.agg(*[F.sum(F.col("words") * F.col("p")[k]).alias(f"w{k}") for k in range(len(names))]).first()
-    own = {d: held[f"w{k}"] or 0.0 for k, d in enumerate(names)}
-    whole = max(sum(own.values()), 1.0)
     wanted = {d: max(0.0, weights.get(d, 0.0)) for d in names}
     share = sum(wanted.values()) or 1.0
     wanted = {d: v / share for d, v in wanted.items()}
-    total = total or min((own[d] / v for d, v in wanted.items() if v > 0), default=whole)
-    errors: list[list[float]] = []
-    for _ in range(rounds):
-        rate = _fold(errors, ridge)
-        got = profiles.withColumn("rate", rate).agg(*[F.sum(F.col("rate") * F.col("words") * F.col("p")[k]).alias(f"w{k}") for k in range(len(names))]).first()
-        error = [((got[f"w{k}"] or 0.0) - wanted[d] * total) / max(own[d], 1e-3 * whole) for k, d in enumerate(names)]
-        if max(map(abs, error)) < close:
-            break
-        errors.append(error)
+    rows = rows.withColumn("may", _allowed(names, wanted))
+    held = rows.agg(*[F.sum(F.col("words") * F.col("may") * F.col("p")[k]).alias(f"w{k}") for k in range(len(names))]).first()
+    own = {d: float(held[f"w{k}"] or 0.0) for k, d in enumerate(names)}
+    total = total or min((own[d] / v for d, v in wanted.items() if v > 0 and own[d] > 0), default=0.0)
+    goal = {d: v * total for d, v in wanted.items()}
+    top = repeats * max([1.0, *(goal[d] / own[d] for d in names if own[d] > 0)])
+    fit = _rate(_fitted(rows, names, own, goal, top, rounds, close, ridge), top)
     scale = 1.0
     if unit:
-        likely = F.array_position("p", F.array_max("p"))
-        wished = profiles.where(likely.isin(*[k + 1 for k, d in enumerate(names) if wanted[d] > 0])).withColumn("rate", _fold(errors, ridge))
-        middle = wished.agg(F.percentile("rate", 0.5, F.greatest(F.col("words").cast("long"), F.lit(1)))).first()[0]
+        wished = rows.where("may > 0").select(F.greatest("words", F.lit(1)).alias("words"), (F.ceil(fit * 10_000) / 10_000).alias("rate"))
+        middle = wished.agg(F.percentile("rate", 0.5, F.col("words"))).first()[0]
         scale = 1 / middle if middle else 1.0
-    rate = F.round(_fold(errors, ridge) * scale * 20, 0) / 20
+    rate = F.round(fit * scale * 20, 0) / 20
     likeliest = F.element_at(F.array(*[F.lit(d) for d in names]), F.array_position("p", F.array_max("p")).cast("int"))
     return rows.select("doc_id", "words", likeliest.alias("domain"), F.array(*[F.lit(d) for d in names]).alias("domains"), "p", rate.alias("rate"))
 
