@@ -8,7 +8,7 @@ share, and a vanishing ridge picks the rates nearest 1 of all that do (targets t
 reach are met as nearly as they allow). At the optimum a rate is 1 - multipliers . posterior, with one
 multiplier for each domain, held between 0 and ``repeats`` times the highest rate that undivided documents
 would need (so that no few documents are drawn hundreds of times for a target out of reach); these are found by Newton's steps, whose sums over all documents' posteriors
-Spark makes, and the driver holds a few numbers for each step.
+Spark makes, and the driver holds a few numbers for each step. Rates and posteriors are not rounded.
 Posterior mass in a domain whose target is 0 has no rate: a document's rate is reduced by it, and is 0 where
 such domains have half of the mass or more. All of it is SQL functions: no Python runs on rows.
 
@@ -129,7 +129,7 @@ def _posteriors(rows: DataFrame, base: dict[str, float], adds: dict[str, dict[st
 
     def chances(s: Column) -> Column:
         e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
-        return _let(e, lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), 3)))
+        return _let(e, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
     adds = F.transform("found", lambda f: F.coalesce(F.try_element_at(values, f), zero))
     return rows.select("doc_id", "words", _let(adds, scores).alias("p"))
@@ -147,8 +147,9 @@ def _allowed(names: list[str], wanted: dict[str, float]) -> Column:
 
 
 def _plain(shifts: list[float]) -> Column:
-    """1 - multipliers . posterior."""
-    return sum((F.lit(-x) * F.col("p")[k] for k, x in enumerate(shifts) if x), F.lit(1.0))
+    """1 - multipliers . posterior; the multipliers are one array, so that all steps share their compiled code."""
+    x = F.array(*[F.lit(float(v)) for v in shifts])
+    return F.lit(1.0) - F.aggregate(F.zip_with(x, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
 
 def _rate(shifts: list[float], most: float) -> Column:
@@ -202,7 +203,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
 
     weights: of the domains' expected words in the mixture. total: words of the mixture; if none is
     given, the most for which no domain needs more words than it has. unit: rates are scaled so that the
-    median, by words, of the documents of domains with a weight is 1. Rates are rounded to twentieths. repeats: no fitted rate is more than
+    median, by words, of the documents of domains with a weight is 1. repeats: no fitted rate is more than
     that many times the highest that undivided documents would need, which is 1 or more.
     """
     spark = docs.sparkSession
@@ -231,7 +232,7 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
         wished = rows.where("may > 0").select(F.greatest("words", F.lit(1)).alias("words"), (F.ceil(fit * 10_000) / 10_000).alias("rate"))
         middle = wished.agg(F.percentile("rate", 0.5, F.col("words"))).first()[0]
         scale = 1 / middle if middle else 1.0
-    rate = F.round(fit * scale * 20, 0) / 20
+    rate = fit * scale
     likeliest = F.element_at(F.array(*[F.lit(d) for d in names]), F.array_position("p", F.array_max("p")).cast("int"))
     return rows.select("doc_id", "words", likeliest.alias("domain"), F.array(*[F.lit(d) for d in names]).alias("domains"), "p", rate.alias("rate"))
 

@@ -30,3 +30,13 @@ def test_no_clearly_toxic_document_leaves_the_pipeline_stage(spark, toxic):
     assert all(0.95 < r.rate < 1.05 for r in got if r.domain == "clean")
     left = mixing.mixed(docs, labels, corpus_pipeline.WEIGHTS, unit=True).collect()
     assert len(left) > 3800 and not any("vile" in r.text or "jackpot" in r.text for r in left)
+
+
+@pytest.mark.parametrize("sizes", [{"clean": 4000, "junk": 206, "toxic": 60}, {"clean": 4000, "junk": 260, "toxic": 80}])
+def test_expected_words_meet_the_targets_at_rare_shares(spark, sizes):
+    docs, labels = corpus(spark, **sizes)
+    weights = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
+    got = mixing.rates(docs, labels, weights).collect()
+    drawn = np.array([np.array(r.p) * r.words * r.rate for r in got]).sum(axis=0)
+    assert drawn / drawn.sum() == pytest.approx([weights[d] for d in got[0].domains], rel=1e-2)
+    assert max(r.rate for r in got) < 1.1
