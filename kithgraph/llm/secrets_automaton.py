@@ -211,7 +211,6 @@ def trained(n: int = 150, margin: float = 0.3, seed: int = 7) -> tuple[Automaton
 _CREDENTIAL = np.zeros(256, bool)
 _CREDENTIAL[list(b"+/_.=-" + (_UPPER + _LOWER + _DIGIT).encode())] = True
 _EDGE = "+/_.=-"
-_SURE = re.compile(r"[A-Z]?[a-z]*[.=_/+-]*|[A-Z]+[.=_/+-]*")
 
 
 def _runs(data: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +234,7 @@ def pieces(run: str, least: int = 16) -> Iterator[tuple[int, str]]:
     at = 0
     for part in run.split("="):
         bare = part.strip(_EDGE)
-        if len(bare) >= least and not _SURE.fullmatch(bare):
+        if len(bare) >= least:
             yield at + part.index(bare), bare
         at += len(part) + 1
 

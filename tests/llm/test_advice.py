@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from kithgraph.llm import mixing
+from kithgraph.llm import secrets_automaton as secrets
 
 DOMAINS = {"clean": ("river", 1, 0), "junk": ("jackpot", 0, 0), "toxic": ("vile", 0, 1)}
 
@@ -40,3 +41,11 @@ def test_expected_words_meet_the_targets_at_rare_shares(spark, sizes):
     drawn = np.array([np.array(r.p) * r.words * r.rate for r in got]).sum(axis=0)
     assert drawn / drawn.sum() == pytest.approx([weights[d] for d in got[0].domains], rel=1e-2)
     assert max(r.rate for r in got) < 1.1
+
+
+def test_keys_of_letters_alone_are_scored(spark):
+    key, word = "ASIA" + "QZXKWVJTBGMPLRND", "Donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"id {key} end"), (2, f"{word} {word.upper()} {word.lower()}"), (3, "=" * 40)]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "format:3:23", 2: "", 3: ""}
+    assert [x for _, x in secrets.pieces(f"{word.lower()}={key}")] == [word.lower(), key]
