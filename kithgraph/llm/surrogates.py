@@ -1,9 +1,12 @@
 """Personal data replaced by made-up values of the same type.
 
 Mail addresses, phone and card numbers, network addresses and titled names are found by one pattern.
-Each entity (in canonical form: lower case, digits alone) gets a surrogate by a keyed hash: digits for
+A name is known by gender and name parts, however its title is spelled; within a text, a shorter titled
+name and the name or a part of it without title belong to the first full name they fit (a word that the
+text has in lower case as well is left alone). Each entity (in canonical form: lower case, digits, a
+number's leading plus) gets a surrogate by a keyed hash: digits for
 digits, letters of the same script for letters, names of the same gender from lists, card numbers with
-the same kind of check digit; domains are replaced alike in all addresses, top-level labels stay. A
+the same kind of check digit, phone numbers with the same country code; domains are replaced alike in all addresses, top-level labels stay. A
 mention is written in its own format and case. So that different entities stay different, the entity
 table is checked: of entities with one surrogate, and of surrogates that are entities themselves, all
 but the first are derived anew until none is left. One entity has one surrogate in the whole corpus.
@@ -31,6 +34,9 @@ KINDS = {
     "person": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 ANY = "|".join(f"(?:{x})" for x in KINDS.values())
+_TITLE = r"^(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr)\.? "
+#: Country codes of phone numbers; none is the start of another.
+_COUNTRY = r"^[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])[0-9])"
 _FEMALE = r"^(?:mrs|ms|miss|frau|madame|mme|señora|sra)\b"
 
 # Names for surrogates (fixed values).
@@ -81,26 +87,65 @@ def surrogate() -> Column:
     label = "element_at(split(canon, '@'), 2)"
     domain = f"regexp_replace({label}, '\\\\.[a-z]+$', '')"
     names = lambda latin, cyrillic, place: f"case when canon rlike '[\\\\p{{IsCyrillic}}]' then {_lit(cyrillic)}[{_draw('seed', place, str(len(cyrillic)))}] else {_lit(latin)}[{_draw('seed', place, str(len(latin)))}] end"
-    title = "regexp_extract(canon, '^(\\\\S+) ', 1)"
-    first = f"case when canon rlike {_sql(_FEMALE)} then {names(WOMEN, WOMEN_CYRILLIC, '1')} else {names(MEN, MEN_CYRILLIC, '1')} end"
+    first = f"case when startswith(canon, 'f ') then {names(WOMEN, WOMEN_CYRILLIC, '1')} else {names(MEN, MEN_CYRILLIC, '1')} end"
+    number = f"{_draw('seed', '3', 'cast(90 * pow(10, least(cast(attempt as int), 6)) as bigint)')} + 10"
+    # after some attempts a number's country code goes, too, so that there are enough surrogates
+    code = f"case when cast(attempt as int) < 8 then regexp_extract(canon, {_sql(_COUNTRY)}, 0) else regexp_extract(canon, '^[+]', 0) end"
+    phone = f"element_at(transform(array({code}), c -> concat(c, substring({_DIGITS}, length(c) + 1))), 1)"
     card = f"element_at(transform(array({_DIGITS}), d -> case when {_luhn('canon', 1)} % 10 = 0 then concat(substring(d, 1, 15), cast((10 - {_luhn('substring(d, 1, 15)', 1)} % 10) % 10 as string)) else d end), 1)"
     return F.expr(f"""case kind
       when 'email' then concat({_spelled("element_at(split(canon, '@'), 1)", 'seed')}, '@', {_spelled(domain, f"sha2(concat(pepper, '|domain|', {label}, '|', attempt), 256)")}, regexp_extract({label}, '(\\\\.[a-z]+)$', 1))
       when 'ip' then concat_ws('.', transform(sequence(1, 4), i -> cast(1 + {_draw('seed', 'i', '254')} as string)))
       when 'card' then {card}
-      when 'phone' then {_DIGITS}
-      else concat_ws(' ', {title}, case when size(split(canon, ' ')) > 2 then {first} end, concat({names(FAMILIES, FAMILIES_CYRILLIC, '2')}, {_draw('seed', '3', '90')} + 10)) end""")
+      when 'phone' then {phone}
+      else concat_ws(' ', case when size(split(canon, ' ')) > 2 then {first} end, concat({names(FAMILIES, FAMILIES_CYRILLIC, '2')}, {number})) end""")
 
 
 def _canon() -> Column:
-    return F.expr("case when kind in ('card', 'phone') then regexp_replace(value, '[^0-9]', '') else lower(value) end")
+    return F.expr("case when kind = 'card' then regexp_replace(value, '[^0-9]', '') when kind = 'phone' then regexp_replace(value, '[^0-9+]', '') when kind = 'person' then who.canon else lower(value) end")
+
+
+def _named(found: str) -> str:
+    """Gender and name without title of each titled name among the values found, in their order."""
+    return f"""transform(filter({found}, v -> v rlike {_sql(_TITLE)}), v -> named_struct('g', case when lower(v) rlike {_sql(_FEMALE)} then 'f' else 'm' end, 'n', {_bare('v')}))"""
+
+
+def _bare(value: str) -> str:
+    return f"regexp_replace(regexp_replace({value}, {_sql(_TITLE)}, ''), {_sql("'s$")}, '')"
+
+
+def _pattern() -> str:
+    """Of columns pii_text and named: the pattern of all mentions, a text's own names without a title among them.
+
+    A single word that the text has in lower case, too, is no name there.
+    """
+    low = "split(pii_text, '[^\\\\p{L}\\'-]+')"
+    single = "array_distinct(flatten(transform(named, x -> split(x.n, ' '))))"
+    single = f"filter({single}, w -> length(w) > 1 and not array_contains({low}, lower(w)))"
+    words = f"concat(transform(filter(named, x -> contains(x.n, ' ')), x -> x.n), {single})"
+    return f"case when size(named) = 0 then {_sql(ANY)} else concat({_sql(ANY)}, {_sql("|(?<![\p{L}\p{N}])(?:")}, array_join(array_distinct({words}), '|'), {_sql(")(?![\p{L}\p{N}])")}) end"
+
+
+def _who(value: str) -> str:
+    """Of a name and the text's titled names: canon (gender and name in lower case) and which part of the name is meant.
+
+    A single word is the first full name of the text that it is the last (without title: or first) word of.
+    """
+    g = f"case when not {value} rlike {_sql(_TITLE)} then '' when lower({value}) rlike {_sql(_FEMALE)} then 'f' else 'm' end"
+    last, first = "element_at(split(x.n, ' '), -1)", "split(x.n, ' ')[0]"
+    fits = f"filter(named, x -> x.n = q.n and q.g in ('', x.g)), filter(named, x -> not contains(q.n, ' ') and q.g in ('', x.g) and contains(x.n, ' ') and {last} = q.n), filter(named, x -> not contains(q.n, ' ') and q.g = '' and contains(x.n, ' ') and {first} = q.n)"
+    full = f"element_at(transform(array(array({fits})), f -> concat(case when contains(q.n, ' ') then f[0] else f[1] end, f[2], f[0])), 1)"
+    pick = f"element_at(transform(array({full}), c -> coalesce(try_element_at(c, 1), named_struct('g', q.g, 'n', q.n))), 1)"
+    part = f"case when not contains(x.n, ' ') or x.n = q.n then 'all' when {last} = q.n then 'last' else 'first' end"
+    return f"element_at(transform(array(named_struct('g', {g}, 'n', {_bare(value)})), q -> element_at(transform(array({pick}), x -> named_struct('canon', lower(concat(x.g, ' ', x.n)), 'part', {part})), 1)), 1)"
 
 
 def _rendered() -> str:
-    """Of m.kind, m.value, m.surr: the surrogate in the mention's format."""
+    """Of m.kind, m.value, m.surr, m.part: the surrogate in the mention's format."""
     upto = "length(regexp_replace(substring(m.value, 1, i + 1), '[^0-9]', ''))"
-    poured = f"array_join(transform(filter(split(m.value, ''), c -> c <> ''), (c, i) -> case when c rlike '[0-9]' and (m.kind = 'card' or i >= length(regexp_extract(m.value, '^([+][0-9]+)', 1))) then substring(m.surr, {upto}, 1) else c end), '')"
-    titled = "concat_ws(' ', transform(split(m.surr, ' '), (w, i) -> case when i = 0 then split(m.value, ' ')[0] else w end))"
+    poured = f"array_join(transform(filter(split(m.value, ''), c -> c <> ''), (c, i) -> case when c rlike '[0-9]' then substring(regexp_replace(m.surr, '[+]', ''), {upto}, 1) else c end), '')"
+    part = "case m.part when 'last' then element_at(split(m.surr, ' '), -1) when 'first' then split(m.surr, ' ')[0] else m.surr end"
+    titled = f"concat(regexp_extract(m.value, {_sql(_TITLE)}, 0), {part}, regexp_extract(m.value, {_sql("'s$")}, 0))"
     return f"case when m.kind in ('card', 'phone') then {poured} when m.kind = 'person' then {titled} when m.value = upper(m.value) then upper(m.surr) else m.surr end"
 
 
@@ -122,8 +167,9 @@ def entities(mentions: DataFrame, pepper: str, tmp: Scratch) -> DataFrame:
 
     table, k = tmp.save(derived(base.withColumn("attempt", F.lit(0))), "surr_0"), 0
     while True:
-        first = table.groupBy("kind", "surr").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("holder"), F.count("*").alias("claims")).where("claims > 1")
-        taken = table.join(first, ["kind", "surr"]).where("canon <> holder").select("kind", "canon")
+        written = table.withColumn("mark", F.when(F.col("kind") == "person", F.element_at(F.split("surr", " "), -1)).otherwise(F.col("surr")))
+        first = written.groupBy("kind", "mark").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("holder"), F.count("*").alias("claims")).where("claims > 1")
+        taken = written.join(first, ["kind", "mark"]).where("canon <> holder").select("kind", "canon")
         real = table.join(base.select("kind", F.lower("canon").alias("real")), (F.lower("surr") == F.col("real")) & (table["kind"] == base["kind"])).select(table["kind"], table["canon"])
         clash = tmp.save(taken.unionByName(real).distinct().withColumn("again", F.lit(1)), f"clash_{k}")
         if clash.limit(1).count() == 0:
@@ -143,14 +189,16 @@ def with_surrogates(docs: DataFrame, pepper: str = "a key of the owner", text_co
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     rows = rows.withColumn("found", F.expr(f"regexp_extract_all(pii_text, {_sql(ANY)}, 0)"))
-    hit = rows.where("size(found) > 0").select("row", "pii_text", "found", F.xxhash64("pii_text").alias("h1"), F.crc32(F.col("pii_text").cast("binary")).alias("h2"))
-    hit = tmp.save(hit, "hit")
-    mentions = hit.select("h1", "h2", "found").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.posexplode("found").alias("pos", "value"))
-    mentions = mentions.withColumn("kind", _kind("value")).withColumn("canon", _canon())
+    hit = rows.where("size(found) > 0").withColumn("named", F.expr(_named("found"))).withColumn("pattern", F.expr(_pattern()))
+    hit = hit.withColumn("found", F.expr("case when size(named) = 0 then found else regexp_extract_all(pii_text, pattern, 0) end"))
+    hit = tmp.save(hit.select("row", "pii_text", "pattern", "named", "found", F.xxhash64("pii_text").alias("h1"), F.crc32(F.col("pii_text").cast("binary")).alias("h2")), "hit")
+    mentions = hit.select("h1", "h2", "named", "found").dropDuplicates(["h1", "h2"]).select("h1", "h2", "named", F.posexplode("found").alias("pos", "value"))
+    mentions = mentions.withColumn("kind", _kind("value")).withColumn("who", F.expr(f"case when kind = 'person' then {_who('value')} end")).withColumn("canon", _canon())
+    mentions = mentions.select("h1", "h2", "pos", "value", "kind", "canon", F.col("who.part").alias("part"))
     mentions = tmp.save(mentions, "mentions")
     table = entities(mentions, pepper, tmp)
-    written = mentions.join(table.select("kind", "canon", "surr"), ["kind", "canon"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "value", "surr"))).alias("ms"))
-    pieces = f"split(pii_text, {_sql(ANY)}, -1)"
+    written = mentions.join(table.select("kind", "canon", "surr"), ["kind", "canon"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "value", "surr", "part"))).alias("ms"))
+    pieces = "split(pii_text, pattern, -1)"
     text = F.expr(f"array_join(zip_with({pieces}, transform(ms, m -> {_rendered()}), (a, b) -> concat(a, coalesce(b, ''))), '')")
     replaced = hit.join(written, ["h1", "h2"]).withColumn("pii_new", text)
 

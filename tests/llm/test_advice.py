@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from kithgraph.llm import mixing
 from kithgraph.llm import secrets_automaton as secrets
+from kithgraph.llm.surrogates import with_surrogates
 
 DOMAINS = {"clean": ("river", 1, 0), "junk": ("jackpot", 0, 0), "toxic": ("vile", 0, 1)}
 
@@ -49,3 +50,21 @@ def test_keys_of_letters_alone_are_scored(spark):
     got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "format:3:23", 2: "", 3: ""}
     assert [x for _, x in secrets.pieces(f"{word.lower()}={key}")] == [word.lower(), key]
+
+
+def test_phone_numbers_without_separators_are_replaced(spark):
+    values = ["+13775550271", "+4915112345678", "+1377 555 0271", "+35312345678"]
+    got = with_surrogates(spark.createDataFrame([(i, f"call {v} now") for i, v in enumerate(values)], "doc_id long, text string")).collect()
+    new = [r.text.split("call ")[1].split(" now")[0] for r in sorted(got, key=lambda r: r.doc_id)]
+    for old, now, code in zip(values, new, ["+1", "+49", "+1", "+353"], strict=True):
+        assert len(now) == len(old) and now.startswith(code) and now[len(code) :] != old[len(code) :] and old[4:] not in now
+    assert new[0] == new[2].replace(" ", "")  # one entity
+
+
+def test_a_person_keeps_one_surrogate_in_all_forms(spark):
+    rows = [(1, "Mr. Carl Hale came. Mr Hale left; Carl Hale's dog stayed. Hale and Mr Carl Hale's car. Carl!"), (2, "Mr Carl Hale"), (3, "Herr Hale"), (4, "Mrs Hale, Mr Mark Will. He will mark it, Will.")]
+    got = {r.doc_id: r for r in with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, last = got[2].text.split()[1:]
+    assert got[1].text == f"Mr. {first} {last} came. Mr {last} left; {first} {last}'s dog stayed. {last} and Mr {first} {last}'s car. {first}!"
+    assert got[1].n_person == 6 and "Hale" not in got[3].text + got[4].text and got[3].text.split()[1] != last
+    assert got[4].text.endswith(" He will mark it, Will.")
