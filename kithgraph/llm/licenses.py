@@ -1,7 +1,8 @@
 """Licence notices by a trained paragraph classifier.
 
 A paragraph is a line with a word. Its features are word sequences of one to three words that occur in
-the notice templates and hold a telling word (one that the corpus's own paragraphs hardly use). A sparse
+the notice templates and hold a telling word (one that the corpus's own paragraphs, notices left out, hardly
+use, and of each template its two rarest in them). A sparse
 multinomial logistic regression (L1 penalty, by proximal gradient steps) is fitted to disturbed copies of
 the templates, one class for each licence family, against the class "unknown": ``max_paragraphs``
 paragraphs of the corpus, the first by a hash of text and place, each text once (a documented bound), and disturbed
@@ -45,6 +46,7 @@ TEMPLATES = {
 }
 _MARKS = ".,;:!?\"'()[]{}*#/-=&%$|<>"
 UNKNOWN = "unknown"
+_STOP = {"the", "of", "to", "a", "and", "or", "in", "is", "for", "any", "this", "you", "with", "by", "it", "not", "be", "are", "may", "can", "that", "no", "if", "at"}
 
 
 def _plain(text: str) -> list[str]:
@@ -65,13 +67,19 @@ class Model:
     def __init__(self, paragraphs: list[list[str]], seed: int = 11, copies: int = 40):
         r = random.Random(seed)
         self.classes = [UNKNOWN, *TEMPLATES]
+        known = [(f, _plain(t)) for f, ts in TEMPLATES.items() for t in ts]
+        sure = [set(_grams(t)) for _, t in known]
+        # notices neither make words common nor are unknown, however many there are
+        paragraphs = [p for p in paragraphs if not any(len(_grams(p) & s) > 0.5 * len(s) for s in sure)]
         held: dict[str, int] = {}
         for p in paragraphs:
             for w in set(p):
                 held[w] = held.get(w, 0) + 1
-        common = {w for w, n in held.items() if n * 50 > len(paragraphs)} | {"the", "of", "to", "a", "and", "or", "in", "is", "for", "any", "this", "you", "with", "by", "it", "not", "be", "are", "may", "can", "that", "no", "if", "at"}
-        known = [(f, _plain(t)) for f, ts in TEMPLATES.items() for t in ts]
-        self.telling = sorted({w for _, t in known for w in t if w not in common and not w.isdigit() and len(w) > 1})
+        able = [{w for w in t if w not in _STOP and not w.isdigit() and len(w) > 1} for _, t in known]
+        telling = {w for ws in able for w in ws if held.get(w, 0) * 50 <= len(paragraphs)}
+        for ws in able:  # the two rarest words of each template tell in any corpus
+            telling.update(sorted(ws, key=lambda w: (held.get(w, 0), w))[:2])
+        self.telling = sorted(telling)
         tells = set(self.telling)
         self.features = sorted(g for g in set().union(*(_grams(t) for _, t in known)) if tells & set(g.split()))
         place = {g: k for k, g in enumerate(self.features)}
@@ -84,11 +92,7 @@ class Model:
                 if len(t) > 12 and r.random() < 0.3:
                     own = own[: max(8, len(own) * 2 // 3)]
                 rows.append((self.classes.index(family), noise(r.choice([0, 0, 2, 8])) + own + noise(r.choice([0, 0, 2, 8]))))
-        sure = [set(_grams(t)) for _, t in known]
-        for p in paragraphs:
-            g = _grams(p)
-            if not any(len(g & s) > 0.5 * len(s) for s in sure):
-                rows.append((0, p))
+        rows += [(0, p) for p in paragraphs]
         for _ in range(copies * 10):
             rows.append((0, noise(r.randint(2, 12)) + [r.choice(self.telling)] + noise(r.randint(2, 12))))
         r.shuffle(rows)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from kithgraph.llm import mixing
+from kithgraph.llm import licenses, mixing
 from kithgraph.llm import secrets_automaton as secrets
 from kithgraph.llm.surrogates import with_surrogates
 
@@ -68,3 +68,11 @@ def test_a_person_keeps_one_surrogate_in_all_forms(spark):
     assert got[1].text == f"Mr. {first} {last} came. Mr {last} left; {first} {last}'s dog stayed. {last} and Mr {first} {last}'s car. {first}!"
     assert got[1].n_person == 6 and "Hale" not in got[3].text + got[4].text and got[3].text.split()[1] != last
     assert got[4].text.endswith(" He will mark it, Will.")
+
+
+def test_a_common_licence_is_not_lost(spark):
+    notices = [(i, f"Copyright {1990 + i % 30} Jane{i} Roe{i}. Released under the MIT License.") for i in range(300)]
+    docs = spark.createDataFrame(notices + [(1000 + i, f"plain line w{i} about rivers and v{i % 50} boats") for i in range(600)], "doc_id long, text string")
+    got = licenses.licences(docs).collect()
+    assert {r.doc_id for r in got if r.family == "MIT" and r.confirmed} == set(range(300))
+    assert not [r for r in got if r.doc_id >= 1000]
