@@ -9,13 +9,22 @@ one text with a character left out (edits = 1) or a segment of their own (edits
 verified by a banded edit distance whose column is one machine word (its vertical and horizontal
 differences are bit vectors), updated character by character.
 
-Occurrences are ordered by doc_id and line number. An occurrence goes if its very text came before, or
-if it is the first of its text and a text within ``edits`` edits came before. Lines without a word stay.
-Texts are told apart by 96 bits of hash. All of it is SQL functions: no Python runs on rows.
-
-Nulls: a null text has no lines; null ids come first in the order. Rows that repeat an id are one
-document: equal lines at equal places are one occurrence. Other columns are ignored by ``line_classes``
-and kept by ``without_repeated_lines``.
+The threshold is relative: one edit for each ``least`` characters at the shortest. A line under ``least``
+characters is allowed none, since one edit would make "Page 1" and "Page 2" the same; such lines are
+compared for equality alone.
+
+Occurrences are ordered by row (id, then hash of the text) and line number. An occurrence goes if its
+very text came before, or if it is the first of its text and a text within ``edits`` edits came before.
+Lines without a word stay. Texts are told apart by 96 bits of hash. All of it is SQL functions: no Python
+runs on rows.
+
+What is shuffled: hashes of segments, and each distinct line's text once for every task that reads it.
+A very common line is one row a task. Texts are kept only of lines that share a segment with another.
+The plan is the same at every size (sort-merge joins, which split a skewed key).
+
+Nulls: a null text has no lines; null ids come first in the order. Rows that repeat both id and text are
+one document; rows of one id with different texts are different documents. Other columns are ignored by
+``line_classes`` and ``line_report`` and kept by ``without_repeated_lines``.
 """
 
 from __future__ import annotations
@@ -28,9 +37,14 @@ from kithgraph.llm.scratch import Scratch
 _SPACE = "[^\\x20\\x09-\\x0D]"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(_SPACE))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """at (what tells a row from others: its id and its text's hash) and its lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(_at(id_col, text_col).alias("at"), F.split(text, "\n").alias("lines"))
+
+
+def _at(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
 
 
 def _cut(length: str, edits: int, i: int) -> tuple[str, str]:
@@ -88,72 +102,75 @@ def _rest_keys(edits: int) -> Column:
     return F.transform(segment_keys("rest", "length(rest)", edits), lambda s: F.xxhash64(F.col("key"), s["key"]))
 
 
-def near_lines(lines: DataFrame, edits: int, least: int, short: int, tmp: Scratch) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines within ``edits`` edits."""
+def _judged(rows: DataFrame, edits: int, least: int, short: int, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Places (at, pos) of each text's first occurrence, and of those that a near text precedes."""
+    lines = rows.select("at", F.posexplode("lines").alias("pos", "line")).where(F.col("line").rlike(_SPACE))
+    lines = lines.withColumn("id", F.struct(F.xxhash64("line").alias("h"), F.hash("line").alias("c")))
     usable = lines.withColumn("n", F.length("line")).where(F.col("n") >= least)
-    keys = usable.select(F.xxhash64("line").alias("id"), F.explode(segment_keys("line", "n", edits)).alias("s")).select("s.key", "id", "s.role")
+    keys = usable.select("id", F.explode(segment_keys("line", "n", edits)).alias("s")).select("s.key", "id", "s.role")
     keys = tmp.save(keys.groupBy("key", "id").agg(F.min("role").alias("role")), "keys")
     lists = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("role").alias("least_role")).where("held > 1 and least_role = 0").select("key", "held")
-    shared = tmp.save(keys.join(lists, "key"), "shared")
+    shared = tmp.save(keys.hint("merge").join(lists, "key"), "shared")
     tmp.drop("keys")
     tmp.release()
-    # the texts of lines that share a segment with another
-    wanted = shared.select("id").distinct()
-    texts = usable.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id").groupBy("id").agg(F.min("line").alias("line"))
-    texts = tmp.save(texts, "texts")
+    # one row for each text; the text itself stays where a list needs it
+    wanted = shared.select("id").distinct().withColumn("wanted", F.lit(True))
+    firsts = lines.groupBy("id").agg(F.min(F.struct("at", "pos")).alias("first"), F.min("line").alias("line"))
+    firsts = firsts.hint("merge").join(wanted, "id", "left").select("id", "first", F.when(F.col("wanted"), F.col("line")).alias("line"))
+    firsts = tmp.save(firsts, "firsts")
     tmp.release()
+    texts = firsts.where("line is not null")
     few = shared.where(F.col("held") <= short)
     pairs = _pairs(few, "key")
     many = shared.where(F.col("held") > short).select("key", "id")
     placed = texts.select("id", "line", F.explode(segment_keys("line", "length(line)", edits)).alias("s")).select("id", "line", "s.*")
-    rests = placed.join(many, ["key", "id"]).select("key", "id", "role", F.expr("concat(substring(line, 1, at), '\n', substring(line, at + n + 1, length(line)))").alias("rest"))
+    rests = placed.hint("merge").join(many, ["key", "id"]).select("key", "id", "role", F.expr("concat(substring(line, 1, at), '\n', substring(line, at + n + 1, length(line)))").alias("rest"))
     fine = rests.select("id", "role", F.explode(_rest_keys(edits)).alias("key")).groupBy("key", "id").agg(F.min("role").alias("role"))
     pairs = tmp.save(pairs.unionByName(_pairs(fine, "key")).distinct(), "pairs")
-    side = lambda k: texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
-    return tmp.save(known.where(banded_distance("line_a", "line_b", edits) <= edits).select("a", "b"), "near")
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"), F.col("first").alias(f"first_{k}"))
+    known = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").where(banded_distance("line_a", "line_b", edits) <= edits)
+    late = tmp.save(known.select(F.greatest("first_a", "first_b").alias("first")).distinct(), "late")
+    return firsts.select("first.*"), late.select("first.*")
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:
     x = rows.where("role = 0").select(key, F.col("id").alias("x"))
     y = rows.select(key, F.col("id").alias("y"), F.col("role").alias("y_role"))
-    return x.join(y, key).where("x < y or (y_role = 1 and x > y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return x.hint("merge").join(y, key).where("x < y or (y_role = 1 and x > y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _report(docs: DataFrame, edits: int, least: int, short: int, id_col: str, text_col: str, scratch: Scratch | None) -> DataFrame:
+    """For each row (at): held, numbers of its lines with a word; firsts, those that no equal line precedes; lates, of these those that a near one precedes."""
+    tmp = scratch or Scratch(docs.sparkSession, "lines")
+    rows = _rows(docs, id_col, text_col)
+    firsts, late = _judged(rows, edits, least, short, tmp)
+    with_word = F.expr(f"filter(transform(lines, (x, i) -> case when x rlike '{_SPACE.replace(chr(92), chr(92) * 2)}' then i end), i -> i is not null)")
+    none = F.lit(None).cast("int")
+    parts = rows.select("at", with_word.alias("held"), none.alias("first"), none.alias("late"))
+    parts = parts.unionByName(firsts.select("at", F.lit(None).cast("array<int>").alias("held"), F.col("pos").alias("first"), none.alias("late")))
+    parts = parts.unionByName(late.select("at", F.lit(None).cast("array<int>").alias("held"), none.alias("first"), F.col("pos").alias("late")))
+    return parts.groupBy("at").agg(F.first("held", ignorenulls=True).alias("held"), F.collect_set("first").alias("firsts"), F.collect_set("late").alias("lates"))
 
 
 def line_classes(docs: DataFrame, edits: int = 1, least: int = 16, short: int = 32, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """For each line with a word: doc_id, pos (line number from 0), repeated and near (why it goes; both false: it stays)."""
-    tmp = scratch or Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, id_col, text_col)
-    seen = lines.select("doc_id", "pos", F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
-    seen = tmp.save(seen, "seen")
-    texts = tmp.save(seen.groupBy("id", "check").agg(F.min(F.struct("doc_id", "pos")).alias("first")), "firsts")
-    near = near_lines(lines, edits, least, short, tmp)
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    order = texts.groupBy("id").agg(F.min("first").alias("first"))
-    mine = order.select(F.col("id").alias("a"), F.col("first").alias("first_a"))
-    theirs = order.select(F.col("id").alias("b"), F.col("first").alias("first_b"))
-    late = both.join(mine, "a").join(theirs, "b").where("first_b < first_a").select(F.col("a").alias("id")).distinct().withColumn("late", F.lit(True))
-    judged = texts.join(late, "id", "left").select("id", "check", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    at = F.struct("doc_id", "pos")
-    rows = seen.join(judged, ["id", "check"])
-    return rows.select("doc_id", "pos", (~at.eqNullSafe(F.col("first"))).alias("repeated"), (at.eqNullSafe(F.col("first")) & F.col("late")).alias("near"))
-
-
-def line_report(docs: DataFrame, **options) -> DataFrame:
-    """For each doc_id: n_lines (with a word), n_repeated, n_near, and dropped, the numbers of the lines that go."""
-    id_col = options.get("id_col", "doc_id")
-    rows = line_classes(docs, **options)
-    gone = F.col("repeated") | F.col("near")
-    found = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("repeated").alias("n_repeated"), F.count_if("near").alias("n_near"), F.array_join(F.transform(F.sort_array(F.collect_set(F.when(gone, F.col("pos")))), lambda x: x.cast("string")), ",").alias("dropped"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id_")).distinct()
-    out = ids.join(found, F.col("id_").eqNullSafe(F.col("doc_id")), "left")
-    return out.select(F.col("id_").alias("doc_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_repeated", "n_near")], F.coalesce("dropped", F.lit("")).alias("dropped"))
-
-
-def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+    rows = _report(docs, edits, least, short, id_col, text_col, scratch).select("at.doc_id", F.explode("held").alias("pos"), "firsts", "lates")
+    return rows.select("doc_id", "pos", (~F.array_contains("firsts", F.col("pos"))).alias("repeated"), F.array_contains("lates", F.col("pos")).alias("near"))
+
+
+def line_report(docs: DataFrame, edits: int = 1, least: int = 16, short: int = 32, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """For each distinct row: doc_id, n_lines (with a word), n_repeated, n_near, and dropped, the numbers of the lines that go."""
+    rows = _report(docs, edits, least, short, id_col, text_col, scratch)
+    size = lambda c: F.size(c).cast("long")
+    gone = F.array_sort(F.array_except("held", F.array_except("firsts", "lates")))
+    return rows.select("at.doc_id", size("held").alias("n_lines"), (size("held") - size("firsts")).alias("n_repeated"), size("lates").alias("n_near"), F.array_join(gone, ",").alias("dropped"))
+
+
+def without_repeated_lines(docs: DataFrame, edits: int = 1, least: int = 16, short: int = 32, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows with all their columns, without the lines that repeat or nearly repeat an earlier one."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = line_report(docs, **options).select(F.col("doc_id").alias("gone_id"), F.split("dropped", ",").alias("gone_at"))
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left")
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone_at", F.array(F.lit(""))), i.cast("string")))
-    return joined.select(*[(F.array_join(left, "\n").alias(c) if c == text_col else docs[f"`{c}`"]) for c in docs.columns])
+    found = _report(docs, edits, least, short, id_col, text_col, scratch).select("at", F.array_except("held", F.array_except("firsts", "lates")).alias("gone"))
+    rows = docs.select(_at(id_col, text_col).alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.hint("merge").join(found, "at")
+    text = F.col(f"row.`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return joined.select(*[(left if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

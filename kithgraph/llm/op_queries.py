@@ -72,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = rates(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), {"clean": 0.9, "junk": 0.06, "toxic": 0.04})
     p = [F.try_element_at("p", F.nullif(F.array_position("domains", F.lit(d)), F.lit(0)).cast("int")).alias(f"p_{d}") for d in ("clean", "junk", "toxic")]
-    return found.select("doc_id", "words", "domain", *p, "rate", copies(F.col("rate"), F.col("doc_id").cast("string")).alias("copies"))
+    return found.select("doc_id", "tokens", "domain", *p, "rate", copies(F.col("rate"), F.col("doc_id").cast("string")).alias("copies"))
 
 
 def op10_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.llm import words
@@ -220,17 +220,48 @@ def _score(model):
     return run
 
 
+def _kept(model, threshold: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.value.score(features(batch.column(text_at))) >= threshold))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, max_train: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold.
+
+    Each row is judged by its own text in the task that reads it; the labelled sample alone is joined by id.
+    """
+    spark = docs.sparkSession
+    known = _known(labels, label_col, max_train, folds, id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id")  # max_train ids at most
+    model = spark.sparkContext.broadcast(_model(rows.mapInArrow(_extract, "doc_id long, x array<double>"), known))
+    return docs.mapInArrow(_kept(model, threshold, docs.columns.index(text_col)), docs.schema)
+
+
+def _known(labels: DataFrame, label_col: str, max_train: int, folds: int, id_col: str) -> DataFrame:
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & ~_held(folds))
+    return known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+
+
+def _held(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
+
+
+def _model(table: DataFrame, known: DataFrame):
+    """Fitted to the features of the known documents, max_train at most; of rows that repeat an id the least features count."""
+    train = table.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()
+    x = np.array([r["x"] for r in train], float).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r["y"] >= 0.5 for r in train], float))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, max_train: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row; rows whose id's crc32 modulo ``folds`` is 0 are held out of the fit."""
     spark = docs.sparkSession
     tmp = scratch or Scratch(spark, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = tmp.save(rows.mapInArrow(_extract, "doc_id long, x array<double>"), "features")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held)
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = table.join(known, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()  # max_train rows at most
-    x = np.array([r["x"] for r in train], float).reshape(-1, len(FEATURES))
-    model = spark.sparkContext.broadcast(fit(x, np.array([r["y"] >= 0.5 for r in train], float)))
+    model = spark.sparkContext.broadcast(_model(table, _known(labels, label_col, max_train, folds, id_col)))
     out = table.mapInArrow(_score(model), "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_held(folds), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -123,7 +123,7 @@ def _pattern() -> str:
     single = "array_distinct(flatten(transform(named, x -> split(x.n, ' '))))"
     single = f"filter({single}, w -> length(w) > 1 and not array_contains({low}, lower(w)))"
     words = f"concat(transform(filter(named, x -> contains(x.n, ' ')), x -> x.n), {single})"
-    return f"case when size(named) = 0 then {_sql(ANY)} else concat({_sql(ANY)}, {_sql("|(?<![\p{L}\p{N}])(?:")}, array_join(array_distinct({words}), '|'), {_sql(")(?![\p{L}\p{N}])")}) end"
+    return f"case when size(named) = 0 then {_sql(ANY)} else concat({_sql(ANY)}, {_sql(r"|(?<![\p{L}\p{N}])(?:")}, array_join(array_distinct({words}), '|'), {_sql(r")(?![\p{L}\p{N}])")}) end"
 
 
 def _who(value: str) -> str:

@@ -1,7 +1,10 @@
 """Cases of the first review."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kithgraph.llm import licenses, mixing
@@ -26,12 +29,26 @@ def corpus(spark, **sizes):
 @pytest.mark.parametrize("toxic", [60, 400])
 def test_no_clearly_toxic_document_leaves_the_pipeline_stage(spark, toxic):
     docs, labels = corpus(spark, clean=4000, junk=60, toxic=toxic)
-    got = mixing.rates(docs, labels, corpus_pipeline.WEIGHTS, unit=True).collect()
-    assert {r.domain for r in got} == set(DOMAINS)
-    assert {r.rate for r in got if r.domain != "clean"} == {0.0}
-    assert all(0.95 < r.rate < 1.05 for r in got if r.domain == "clean")
-    left = mixing.mixed(docs, labels, corpus_pipeline.WEIGHTS, unit=True).collect()
-    assert len(left) > 3800 and not any("vile" in r.text or "jackpot" in r.text for r in left)
+    docs = docs.withColumn("lang", F.element_at(F.array(*map(F.lit, ("en", "en", "de", "fr", "es", "es"))), (1 + F.col("doc_id") % 6).cast("int")))
+    options = {"stratum": "lang", "cover": corpus_pipeline.COVER}
+    got = mixing.rates(docs, labels, corpus_pipeline.WEIGHTS, **options).collect()
+    assert {r.domain.split(":")[0] for r in got} == set(DOMAINS)
+    assert {r.rate for r in got if not r.domain.startswith("clean")} == {0.0}
+    left = mixing.mixed(docs, labels, corpus_pipeline.WEIGHTS, **options)
+    assert left.columns == docs.columns
+    left = left.collect()
+    assert not any("vile" in r.text or "jackpot" in r.text for r in left)
+    held = Counter(r.lang for r in left)
+    wanted = {k.split(":")[1]: v for k, v in corpus_pipeline.WEIGHTS.items() if ":" in k}
+    for k, v in wanted.items():
+        assert held[k] / len(left) == pytest.approx(v / sum(wanted.values()), abs=0.01)
+
+
+def test_clean_documents_stay_where_shares_are_near_the_targets(spark):
+    docs, labels = corpus(spark, clean=4000, junk=60, toxic=60)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 100 < 56, "en").when(F.col("doc_id") % 100 < 72, "de").when(F.col("doc_id") % 100 < 88, "fr").otherwise("es"))
+    got = mixing.rates(docs, labels, corpus_pipeline.WEIGHTS, stratum="lang", cover=corpus_pipeline.COVER).collect()
+    assert all(0.97 < r.rate < 1.15 for r in got if r.domain.startswith("clean"))
 
 
 @pytest.mark.parametrize("sizes", [{"clean": 4000, "junk": 206, "toxic": 60}, {"clean": 4000, "junk": 260, "toxic": 80}])
@@ -39,7 +56,7 @@ def test_expected_words_meet_the_targets_at_rare_shares(spark, sizes):
     docs, labels = corpus(spark, **sizes)
     weights = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
     got = mixing.rates(docs, labels, weights).collect()
-    drawn = np.array([np.array(r.p) * r.words * r.rate for r in got]).sum(axis=0)
+    drawn = np.array([np.array(r.p) * r.tokens * r.rate for r in got]).sum(axis=0)
     assert drawn / drawn.sum() == pytest.approx([weights[d] for d in got[0].domains], rel=1e-2)
     assert max(r.rate for r in got) < 1.1
 

@@ -8,12 +8,15 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kithgraph.llm import licenses, mixing, quality_rules
 from kithgraph.llm import secrets_automaton as secrets
+from kithgraph.llm.line_dedup import without_repeated_lines
 from kithgraph.llm.quality_gam import FEATURES, features, fit, quality_scores
 from kithgraph.llm.surrogates import with_surrogates
 from kithgraph.llm.token_files import _Encoder, pack, read_tokens, unpack, write_tokens
@@ -156,17 +159,58 @@ def test_mixing_meets_its_targets(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     weights = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}
     got = mixing.rates(docs, labels, weights).collect()
-    names = got[0].domains
-    p, w, r = (np.array(x, float) for x in ([x.p for x in got], [x.words for x in got], [x.rate for x in got]))
-    own = (p * w[:, None]).sum(axis=0)
-    share = np.array([weights[d] for d in names])
-    target = share * (own / share).min()
-    loss = lambda r: (((p * (w * r)[:, None]).sum(axis=0) - target) ** 2 / own).sum() / 2 + 0.05 / 2 * (w * (r - 1) ** 2).sum()
-    best = np.ones(len(w))
-    for _ in range(3000):
-        best = np.maximum(0, best - 0.5 * (p * (((p * (w * best)[:, None]).sum(axis=0) - target) / own)).sum(axis=1) - 0.5 * 0.05 * (best - 1))
-    assert (r >= 0).all() and loss(r) <= loss(best) + 0.02 * loss(np.ones(len(w)))  # rates are rounded
+    p, w, r = (np.array(x, float) for x in ([x.p for x in got], [x.tokens for x in got], [x.rate for x in got]))
+    drawn = (p * (w * r)[:, None]).sum(axis=0)
+    assert drawn / drawn.sum() == pytest.approx([weights[d] for d in got[0].domains], abs=0.01)
+    assert (r >= 0).all() and np.allclose(p.sum(axis=1), 1)
+    texts = {x.doc_id: x.text or "" for x in docs.collect()}
+    assert all(x.tokens == len(regex.findall(mixing.TOKEN, texts[x.doc_id])) for x in got)
     assert {x.rate for x in mixing.rates(odd(spark), labels.limit(0), weights).collect()} == {1.0}
     kept = mixing.mixed(odd(spark), labels.limit(0), weights)
     assert kept.columns == odd(spark).columns and kept.count() == len(ROWS)
     assert mixing.mixed(odd(spark).limit(0), labels, weights).count() == 0
+
+
+def clash():
+    return {c: F.lit("mine") for c in ("gone_at", "gone_id", "mix_rate", "mix_n", "mix_k", "mix_id", "row", "at", "held", "gone", "id", "tokens", "p", "rate", "first", "lines")}
+
+
+def test_no_row_is_judged_by_another_of_its_id(spark):
+    """Null ids, and ids that repeat with other texts."""
+    for i in (None, 7):
+        frame = spark.createDataFrame([(i, "A of the day\nB of the day"), (i, "C of the day\nA of the day"), (1, "B of the day")], "doc_id long, text string").withColumns(clash())
+        got = without_repeated_lines(frame)
+        assert got.columns == frame.columns and {r.gone_at for r in got.collect()} == {"mine"}
+        lines = sorted(x for r in got.collect() for x in r.text.split("\n") if x)
+        assert lines == ["A of the day", "B of the day", "C of the day"]
+
+
+def test_mixing_keeps_rows_without_an_id(spark):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).withColumns(clash())
+    weights, options = corpus_pipeline.WEIGHTS, {"stratum": "lang", "cover": corpus_pipeline.COVER}
+    got = mixing.mixed(nameless, labels, weights, **options)
+    assert got.columns == nameless.columns and {r.mix_n for r in got.collect()} == {"mine"}
+    rate = lambda df: {r.tokens: r.rate for r in mixing.rates(df, labels.where("doc_id % 3 > 0"), weights, **options).collect()}
+    assert rate(nameless) == rate(docs)  # by tokens
+
+
+def test_stages_of_the_pipeline_on_odd_tables(spark):
+    docs = odd(spark).select("doc_id", "text", "lang", "source", F.lit(1).alias("n_chars")).withColumns(clash())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert {r.gone_id for r in rows} <= {"mine"} and len(rows) <= 4 * len(ROWS)
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
+    assert len(kept) == len(ROWS) and any(r.doc_id is None for r in kept)
+    assert corpus_pipeline.tokens(spark, docs, FOLDER).count() == len(ROWS)
+    assert corpus_pipeline.tokens(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_the_stage_accepts_what_the_scores_accept(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scores = quality_scores(docs, labels).collect()
+    assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.01").collect()) == sorted(r.doc_id for r in scores if r.predicted)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scores)
