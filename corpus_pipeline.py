@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from kithgraph.llm.minhash import near_duplicates
 from kithgraph.llm.mixing import mixed
-from kithgraph.llm.quality_gam import quality_scores
+from kithgraph.llm.quality_gam import accepted
 from kithgraph.llm.scratch import Scratch
 from kithgraph.llm.simhash import without_leaks
 from kithgraph.llm.token_files import read_tokens, write_tokens
 
-#: Of the expected words of the mixture: toxic text gets none, and junk that the first stage has left.
-WEIGHTS = {"clean": 1.0, "junk": 0.0, "toxic": 0.0}
+#: Of the expected tokens of the mixture: the clean part of each language; toxic text, and junk that the first stage has left, get none.
+WEIGHTS = {"clean:en": 0.56, "clean:de": 0.155, "clean:fr": 0.155, "clean:es": 0.12, "clean": 0.01}
+#: The mixture is no larger than this many times its input's share with a weight.
+COVER = 1.25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +27,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids``; those with a null id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The documents whose id is not among ``ids``; those with a null id stay. One plan at every size: the texts are dealt by id."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.where("id is not null").hint("merge").join(ids.select(F.col("doc_id").alias("id")), "id", "left_anti").unionByName(rows.where("id is null"))
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    scored = quality_scores(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 0").select("doc_id").distinct())
+    """Documents that the quality classifier accepts; each is judged by its text in the pass that reads it."""
+    return accepted(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +49,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at rates that give the domains their target weights; a clean document's rate is about 1."""
-    return mixed(docs, _table(spark, sf_dir, "labels"), WEIGHTS, unit=True)
+    """Documents drawn at rates that give each language's clean tokens their target weight.
+
+    The languages are met by repeating the scarcer ones, so that a clean document's rate is 1 or more; a document that is toxic or junk has none.
+    """
+    return mixed(docs, _table(spark, sf_dir, "labels"), WEIGHTS, stratum="lang", cover=COVER)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
