@@ -6,10 +6,15 @@ name and the name or a part of it without title belong to the first full name th
 text has in lower case as well is left alone). Each entity (in canonical form: lower case, digits, a
 number's leading plus) gets a surrogate by a keyed hash: digits for
 digits, letters of the same script for letters, names of the same gender from lists, card numbers with
-the same kind of check digit, phone numbers with the same country code; domains are replaced alike in all addresses, top-level labels stay. A
-mention is written in its own format and case. So that different entities stay different, the entity
-table is checked: of entities with one surrogate, and of surrogates that are entities themselves, all
-but the first are derived anew until none is left. One entity has one surrogate in the whole corpus.
+the same kind of check digit, phone numbers with the same country code. Domains are entities of their own,
+so that all addresses of a domain share the new one; top-level labels stay. A mention is written in its own
+format and case. So that different entities stay different, the entity table is checked: of entities with
+one surrogate (of persons: one surname), and of surrogates that are entities themselves, all but the first
+are derived anew until none is left. One entity has one surrogate in the whole corpus.
+
+That ends: a surname has one more syllable in each attempt, and addresses and domains one more letter from the
+fifth on, so that their space outgrows any table. Numbers keep their length; a table that holds nearly all
+numbers of a format is an error after ``ATTEMPTS``.
 
 All of it is SQL functions: no Python runs on rows. Texts without an entity pass through without a
 shuffle; of the others the mentions are joined with the entity table, and the texts once with the
@@ -46,6 +51,10 @@ FAMILIES = ["Adler", "Berger", "Conti", "Duval", "Ellis", "Fabre", "Garner", "Ha
 WOMEN_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"]
 MEN_CYRILLIC = ["Антон", "Борис", "Виктор", "Глеб", "Иван", "Михаил", "Олег", "Павел"]
 FAMILIES_CYRILLIC = ["Белов", "Волков", "Громов", "Зимин", "Крылов", "Лесин", "Орлов", "Соколов"]
+SYLLABLES = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "pe", "ra", "re", "ro", "sa", "se", "so", "ta", "te", "to", "va", "ve", "vo", "wa", "we", "za", "ze"]
+SYLLABLES_CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "де", "до", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "пе", "по", "ра", "ре", "ро", "са", "се", "со", "та", "те", "то", "фа", "ха", "ча", "ша", "за"]
+#: Times that a surrogate is derived, at most.
+ATTEMPTS = 64
 _ACCENTED, _CYRILLIC, _GREEK = "àáâäçèéêëìíîïñòóôöùúûü", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
@@ -83,22 +92,22 @@ _DIGITS = f"array_join(transform(sequence(1, length(canon)), i -> cast({_draw('s
 
 
 def surrogate() -> Column:
-    """Of columns kind, canon and seed."""
-    label = "element_at(split(canon, '@'), 2)"
-    domain = f"regexp_replace({label}, '\\\\.[a-z]+$', '')"
+    """Of columns kind, canon, seed and attempt. An address has its own domain still."""
     names = lambda latin, cyrillic, place: f"case when canon rlike '[\\\\p{{IsCyrillic}}]' then {_lit(cyrillic)}[{_draw('seed', place, str(len(cyrillic)))}] else {_lit(latin)}[{_draw('seed', place, str(len(latin)))}] end"
     first = f"case when startswith(canon, 'f ') then {names(WOMEN, WOMEN_CYRILLIC, '1')} else {names(MEN, MEN_CYRILLIC, '1')} end"
-    number = f"{_draw('seed', '3', 'cast(90 * pow(10, least(cast(attempt as int), 6)) as bigint)')} + 10"
+    ending = f"array_join(transform(sequence(1, 2 + attempt), i -> {names(SYLLABLES, SYLLABLES_CYRILLIC, '10 + i')}), '')"
+    more = f"case when attempt < 4 then '' else array_join(transform(sequence(1, attempt - 3), i -> substring('abcdefghijklmnopqrstuvwxyz', {_draw('seed', '1000 + i', '26')} + 1, 1)), '') end"
     # after some attempts a number's country code goes, too, so that there are enough surrogates
-    code = f"case when cast(attempt as int) < 8 then regexp_extract(canon, {_sql(_COUNTRY)}, 0) else regexp_extract(canon, '^[+]', 0) end"
+    code = f"case when attempt < 8 then regexp_extract(canon, {_sql(_COUNTRY)}, 0) else regexp_extract(canon, '^[+]', 0) end"
     phone = f"element_at(transform(array({code}), c -> concat(c, substring({_DIGITS}, length(c) + 1))), 1)"
     card = f"element_at(transform(array({_DIGITS}), d -> case when {_luhn('canon', 1)} % 10 = 0 then concat(substring(d, 1, 15), cast((10 - {_luhn('substring(d, 1, 15)', 1)} % 10) % 10 as string)) else d end), 1)"
     return F.expr(f"""case kind
-      when 'email' then concat({_spelled("element_at(split(canon, '@'), 1)", 'seed')}, '@', {_spelled(domain, f"sha2(concat(pepper, '|domain|', {label}, '|', attempt), 256)")}, regexp_extract({label}, '(\\\\.[a-z]+)$', 1))
+      when 'email' then concat({_spelled("element_at(split(canon, '@'), 1)", 'seed')}, {more}, '@', element_at(split(canon, '@'), 2))
+      when 'domain' then concat({_spelled("regexp_replace(canon, '[.][a-z]+$', '')", 'seed')}, {more}, regexp_extract(canon, '([.][a-z]+)$', 1))
       when 'ip' then concat_ws('.', transform(sequence(1, 4), i -> cast(1 + {_draw('seed', 'i', '254')} as string)))
       when 'card' then {card}
       when 'phone' then {phone}
-      else concat_ws(' ', case when size(split(canon, ' ')) > 2 then {first} end, concat({names(FAMILIES, FAMILIES_CYRILLIC, '2')}, {number})) end""")
+      else concat_ws(' ', case when size(split(canon, ' ')) > 2 then {first} end, concat({names(FAMILIES, FAMILIES_CYRILLIC, '2')}, {ending})) end""")
 
 
 def _canon() -> Column:
@@ -158,26 +167,33 @@ def _kind(value: str) -> Column:
 
 def entities(mentions: DataFrame, pepper: str, tmp: Scratch) -> DataFrame:
     """kind, canon, surr of each entity; no two have one surrogate, and no surrogate is an entity."""
-    base = tmp.save(mentions.select("kind", "canon").distinct(), "entities")
-    seed = F.sha2(F.concat_ws("|", F.col("pepper"), "kind", "canon", "attempt"), 256)
+    domain = F.element_at(F.split("canon", "@"), -1)
+    base = mentions.select("kind", "canon").unionByName(mentions.where("kind = 'email'").select(F.lit("domain").alias("kind"), domain.alias("canon")))
+    base = tmp.save(base.distinct(), "entities")
+    seed = F.sha2(F.concat_ws("|", F.lit(pepper), "kind", "canon", F.col("attempt").cast("string")), 256)
+    mark = lambda c: F.lower(F.when(F.col("kind") == "person", F.element_at(F.split(c, " "), -1)).otherwise(F.col(c)))
 
     def derived(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("attempt", F.col("attempt").cast("string")).withColumn("pepper", F.lit(pepper)).withColumn("seed", seed)
-        return rows.withColumn("surr", surrogate()).select("kind", "canon", F.col("attempt").cast("int").alias("attempt"), "surr")
-
-    table, k = tmp.save(derived(base.withColumn("attempt", F.lit(0))), "surr_0"), 0
-    while True:
-        written = table.withColumn("mark", F.when(F.col("kind") == "person", F.element_at(F.split("surr", " "), -1)).otherwise(F.col("surr")))
-        first = written.groupBy("kind", "mark").agg(F.min_by("canon", F.struct("attempt", "canon")).alias("holder"), F.count("*").alias("claims")).where("claims > 1")
-        taken = written.join(first, ["kind", "mark"]).where("canon <> holder").select("kind", "canon")
-        real = table.join(base.select("kind", F.lower("canon").alias("real")), (F.lower("surr") == F.col("real")) & (table["kind"] == base["kind"])).select(table["kind"], table["canon"])
-        clash = tmp.save(taken.unionByName(real).distinct().withColumn("again", F.lit(1)), f"clash_{k}")
-        if clash.limit(1).count() == 0:
-            return table
+        return rows.withColumn("seed", seed).withColumn("surr", surrogate()).select("kind", "canon", "attempt", "surr", mark("surr").alias("mark"))
+
+    table = tmp.save(derived(base.withColumn("attempt", F.lit(0))), "surr_0")
+    real = base.select("kind", mark("canon").alias("mark")).distinct()
+    for k in range(ATTEMPTS):
+        first = table.groupBy("kind", "mark").agg(F.min(F.struct("attempt", "canon")).alias("holder"), F.count("*").alias("claims")).where("claims > 1")
+        taken = table.join(first, ["kind", "mark"]).where("canon <> holder.canon").select("kind", "canon")
+        clash = tmp.save(taken.unionByName(table.join(real, ["kind", "mark"], "left_semi").select("kind", "canon")).distinct().withColumn("again", F.lit(1)), f"clash_{k}")
+        if clash.isEmpty():
+            break
+        if k == ATTEMPTS - 1:
+            raise ValueError("the numbers of a format are nearly all taken, so that there are no surrogates left for them")
         old = table.join(clash, ["kind", "canon"], "left")
         new = derived(old.where("again = 1").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
-        k += 1
-        table = tmp.save(old.where("again is null").select("kind", "canon", "attempt", "surr").unionByName(new), f"surr_{k}")
+        table = tmp.save(old.where("again is null").select("kind", "canon", "attempt", "surr", "mark").unionByName(new), f"surr_{k + 1}")
+        tmp.drop(f"surr_{k}", f"clash_{k}")
+    domains = table.where("kind = 'domain'").select(F.col("canon").alias("domain"), F.col("surr").alias("new_domain"))
+    emails = table.where("kind = 'email'").withColumn("domain", domain).join(domains, "domain")
+    emails = emails.select("kind", "canon", F.concat(F.substring_index("surr", "@", 1), F.lit("@"), "new_domain").alias("surr"))
+    return table.where("kind not in ('email', 'domain')").select("kind", "canon", "surr").unionByName(emails)
 
 
 def with_surrogates(docs: DataFrame, pepper: str = "a key of the owner", text_col: str = "text", counts: bool = True, scratch: Scratch | None = None) -> DataFrame:
@@ -196,7 +212,7 @@ def with_surrogates(docs: DataFrame, pepper: str = "a key of the owner", text_co
     mentions = mentions.withColumn("kind", _kind("value")).withColumn("who", F.expr(f"case when kind = 'person' then {_who('value')} end")).withColumn("canon", _canon())
     mentions = mentions.select("h1", "h2", "pos", "value", "kind", "canon", F.col("who.part").alias("part"))
     mentions = tmp.save(mentions, "mentions")
-    table = entities(mentions, pepper, tmp)
+    table = tmp.save(entities(mentions, pepper, tmp), "table")
     written = mentions.join(table.select("kind", "canon", "surr"), ["kind", "canon"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "value", "surr", "part"))).alias("ms"))
     pieces = "split(pii_text, pattern, -1)"
     text = F.expr(f"array_join(zip_with({pieces}, transform(ms, m -> {_rendered()}), (a, b) -> concat(a, coalesce(b, ''))), '')")
