@@ -1,6 +1,8 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line with a word. Its features are word sequences of one to three words that occur in
+A paragraph is a line with a word, and also a block of two or more lines between blank ones (a wrapped
+notice); comment marks count as spaces. A block counts if it is confirmed and none of its lines is for the
+same family. Its features are word sequences of one to three words that occur in
 the notice templates and hold a telling word (one that the corpus's own paragraphs, notices left out, hardly
 use, and of each template its two rarest in them). A sparse
 multinomial logistic regression (L1 penalty, by proximal gradient steps) is fitted to disturbed copies of
@@ -26,6 +28,7 @@ import random
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Notices by which families are known (fixed values: the usual wording of licence notices).
 TEMPLATES = {
@@ -42,7 +45,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission."],
 }
 _MARKS = ".,;:!?\"'()[]{}*#/-=&%$|<>"
 UNKNOWN = "unknown"
@@ -137,19 +140,38 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    return rows.withColumn("words", words_col("line")).where(F.size("words") > 0)
+_BLANK = "^[\\\\x20\\\\x09-\\\\x0D]*$"
 
 
-def trained(docs: DataFrame, max_paragraphs: int = 2000, **columns: str) -> Model:
-    rows = paragraphs(docs, **columns).select(F.xxhash64("doc_id", "pos", "line").alias("h"), "words")
-    sample = rows.orderBy("h", F.size("words")).limit(max_paragraphs).collect()
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.split(text, "\n").alias("lines"))
+
+
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: bool = True) -> DataFrame:
+    """doc_id, h (the text's hash), block (its first line's number), pos, n_lines, words: of all lines with a word and, if asked for, blocks of lines."""
+    rows = _lines(docs, id_col, text_col).withColumn("blank", F.expr(f"transform(lines, x -> x rlike '{_BLANK}')"))
+    each = "sequence(0, size(lines) - 1)"
+    rows = rows.withColumn("starts", F.expr(f"filter({each}, i -> not blank[i] and (i = 0 or blank[greatest(i - 1, 0)]))"))
+    rows = rows.withColumn("ends", F.expr(f"filter({each}, i -> not blank[i] and (i = size(lines) - 1 or blank[least(i + 1, size(lines) - 1)]))"))
+    lines = "flatten(zip_with(starts, ends, (s, e) -> transform(sequence(s, e), i -> named_struct('block', s, 'pos', i, 'n_lines', 1, 'text', lines[i]))))"
+    whole = "filter(zip_with(starts, ends, (s, e) -> named_struct('block', s, 'pos', s, 'n_lines', e - s + 1, 'text', case when e > s then array_join(slice(lines, s + 1, e - s + 1), ' ') end)), u -> u.n_lines > 1)"
+    units = F.explode(F.expr(f"concat({lines}, {whole})" if blocks else lines)).alias("u")
+    return rows.select("doc_id", "h", units).select("doc_id", "h", "u.*").withColumn("words", words_col("text")).drop("text").where(F.size("words") > 0)
+
+
+def trained(docs: DataFrame, max_paragraphs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fitted to the first ``max_paragraphs`` lines by hash. The hash is held below a level first, so that no task sends more than its share."""
+    rows = _lines(docs, id_col, text_col)
+    n = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
+    rows = rows.select("doc_id", F.posexplode("lines").alias("pos", "line")).withColumn("k", F.xxhash64("doc_id", "pos", "line"))
+    rows = rows.where(F.pmod("k", F.lit(1 << 40)) < F.lit(min(1 << 40, (4 * max_paragraphs << 40) // max(1, n)))).withColumn("words", words_col("line")).where(F.size("words") > 0)
+    sample = rows.select("k", "words").orderBy("k", F.size("words")).limit(max_paragraphs).collect()
     return Model([list(x) for x in dict.fromkeys(tuple(dict.fromkeys(r["words"])) for r in sample)])  # each text once
 
 
 def licences(docs: DataFrame, model: Model | None = None, overlap: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs for which a family is predicted: doc_id, pos, family, probability, similarity, confirmed."""
+    """Paragraphs for which a family is predicted: doc_id, pos (first line), n_lines, family, probability, similarity, confirmed."""
     names = {"id_col": id_col, "text_col": text_col}
     m = model or trained(docs, **names)
     texts = lambda values: F.array(*[F.lit(v) for v in values])
@@ -175,7 +197,8 @@ def licences(docs: DataFrame, model: Model | None = None, overlap: int = 60, id_
     adds = F.transform(F.array_intersect(F.concat("words", "pairs", "triples"), texts([m.features[k] for k in used])), lambda f: F.try_element_at(weights, f))
     # inside a generator, so that no filter repeats the expression
     best = F.filter(F.array(_let(adds, scored)), lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= m.level))
-    rows = rows.select("doc_id", "pos", "pairs", F.explode(best).alias("s")).select("doc_id", "pos", "pairs", "s.family", "s.probability")
+    place = ["doc_id", "h", "block", "pos", "n_lines"]
+    rows = rows.select(*place, "pairs", F.explode(best).alias("s")).select(*place, "pairs", "s.family", "s.probability")
     similar = F.lit(0.0)
     for family, ts in TEMPLATES.items():
         shares = []
@@ -184,5 +207,7 @@ def licences(docs: DataFrame, model: Model | None = None, overlap: int = 60, id_
             own = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
             shares.append(F.size(F.array_intersect("pairs", texts(own))) / len(own))
         similar = F.when(F.col("family") == family, F.greatest(*shares, F.lit(0.0))).otherwise(similar)
-    rows = rows.withColumn("similarity", F.round(similar, 6))
-    return rows.select("doc_id", "pos", "family", "probability", "similarity", (F.col("similarity") * 100 >= overlap).alias("confirmed"))
+    rows = rows.select(*place, "family", "probability", F.round(similar, 6).alias("similarity")).withColumn("confirmed", F.col("similarity") * 100 >= overlap)
+    known = F.max((F.col("confirmed") & (F.col("n_lines") == 1)).cast("int")).over(W.partitionBy("doc_id", "h", "block", "family"))
+    rows = rows.withColumn("known", known).where("n_lines = 1 or (confirmed and known = 0)")
+    return rows.select("doc_id", "pos", "n_lines", "family", "probability", "similarity", "confirmed")
