@@ -283,12 +283,12 @@ def _scan(n: int, margin: float):
                     digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     joined.append(_joined(found))
             columns = list(zip(*counts, strict=True)) if counts else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in columns), pa.array(digests, pa.string()), pa.array(joined, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_format", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(columns[3], pa.int64())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"])
 
     return run
 
 
 def secret_spans(docs: DataFrame, samples: int = 150, margin: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, n_format, base_sha256, spans (kind:start:end, comma-joined)."""
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), n_format."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(samples, margin), "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return rows.mapInArrow(_scan(samples, margin), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
