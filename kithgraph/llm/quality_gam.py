@@ -220,24 +220,21 @@ def _score(model):
     return run
 
 
-def _kept(model, threshold: float, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.value.score(features(batch.column(text_at))) >= threshold))
-
-    return run
-
-
 def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, max_train: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score reaches the threshold.
 
-    Each row is judged by its own text in the task that reads it; the labelled sample alone is joined by id.
+    Each row is judged by its own text in the task that reads it (texts go to Python, scores alone come back);
+    the labelled sample alone is joined by id.
     """
     spark = docs.sparkSession
     known = _known(labels, label_col, max_train, folds, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id")  # max_train ids at most
     model = spark.sparkContext.broadcast(_model(rows.mapInArrow(_extract, "doc_id long, x array<double>"), known))
-    return docs.mapInArrow(_kept(model, threshold, docs.columns.index(text_col)), docs.schema)
+
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(features(texts)))
+
+    return docs.where(F.arrow_udf(score, "double")(F.col(text_col)) >= threshold)
 
 
 def _known(labels: DataFrame, label_col: str, max_train: int, folds: int, id_col: str) -> DataFrame:
