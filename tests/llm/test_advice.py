@@ -1,5 +1,6 @@
 """Cases of the first review."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kithgraph.llm import licenses, mixing
+from kithgraph.llm import licenses, mixing, quality_gam
 from kithgraph.llm import secrets_automaton as secrets
 from kithgraph.llm.surrogates import with_surrogates
 
@@ -93,3 +94,47 @@ def test_a_common_licence_is_not_lost(spark):
     got = licenses.licences(docs).collect()
     assert {r.doc_id for r in got if r.family == "MIT" and r.confirmed} == set(range(300))
     assert not [r for r in got if r.doc_id >= 1000]
+
+
+def test_wrapped_and_short_notices(spark):
+    grant = "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and associated\n# documentation files (the X), to deal in it"
+    rows = [(1, f"code\n\n{grant}\n\nmore code"), (2, "a line\nAll rights reserved.\nanother"), (None, grant), (3, "Released under the MIT License.\nLicensed under CC BY 4.0."), (4, "rivers and boats " * 30 + "\nmore of them"), (5, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows] + [(100 + i, f"plain line w{i} about rivers and v{i % 50} boats", "x") for i in range(300)], "doc_id long, text string, words string")
+    got = sorted((r.doc_id or 0, r.pos, r.n_lines, r.family) for r in licenses.licences(docs).collect() if r.confirmed)
+    assert got == [(0, 0, 3, "MIT"), (1, 2, 3, "MIT"), (2, 1, 1, "Proprietary"), (3, 0, 1, "MIT"), (3, 1, 1, "CC-BY-4.0")]
+
+
+def test_surrogates_of_many_entities_end_and_stay_apart(spark):
+    low = "abcdefghijklmnopqrstuvwxyz"
+    surname = lambda i: "Z" + "".join(low[i // 26**k % 26] for k in range(3)) + "q"
+    rows = [(i, f"Mr {surname(i)} wrote") for i in range(6000)] + [(10_000 + i, f"to {c}@x.com, {c}@mail{i}.org and 10.0.0.{i}") for i, c in enumerate(low)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in with_surrogates(docs).collect()}
+    people = [got[i].split()[1] for i in range(6000)]
+    assert len(set(people)) == 6000 and all(x.isalpha() and x[0].isupper() for x in people) and not set(people) & {surname(i) for i in range(6000)}
+    mails = [got[10_000 + i].split()[1].rstrip(",") for i in range(26)]
+    assert len(set(mails)) == 26 and len({m.split("@")[1] for m in mails}) == 1  # one domain
+    others = [got[10_000 + i].split()[2] for i in range(26)]
+    assert len({m.split("@")[1] for m in others}) == 26
+
+
+def test_base_spans_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kinds = [(secrets.ASSIGN, lambda m: len(m[2]) >= 8), (secrets.ACCESS, lambda m: m.end() - m.start() >= 16), (secrets.HEX, lambda m: True)]
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.secret_spans(docs).collect():
+        found = sorted((m.start(), k, m.end()) for k, (p, good) in enumerate(kinds) for m in p.finditer(texts[r.doc_id]) if good(m))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in found) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest()
+
+
+def test_a_score_is_the_sum_of_its_table_entries():
+    r = np.random.default_rng(3)
+    x = r.random((800, 4))
+    model = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    bins = [np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(model.cuts)]
+    wide = [np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(model.pair_cuts)]
+    total = np.full(len(x), model.base) + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+    for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+        total = total + t[wide[i], wide[j]]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-total)), atol=1e-9)
