@@ -1,4 +1,4 @@
-"""Guests of podcast episodes and parties of funding rounds, from titles, descriptions and announcements."""
+"""Guests of podcast episodes, shows and their hosts, and people named on pages, from titles and descriptions."""
 
 from __future__ import annotations
 
@@ -9,37 +9,75 @@ from pyspark.sql import Window as W
 from kithgraph.functions import names
 
 _NAME = "\\p{Lu}[\\p{L}'-]+(?: \\p{Lu}[\\p{L}'.-]*){1,3}"
-_CUES = "co-led by|led by|with participation from|participation from|joined by|backed by|including|investors include"
+# What introduces a guest, numbers an episode, or opens a biography (fixed values).
+_WITH = "(?i)\\b(?:with|feat\\.?|ft\\.?|featuring)\\s+(.+)$"
+_NUMBERED = "(?i)\\b(?:ep|eps|episode)\\b\\.?:?\\s*\\d+"
+_MARKER = "(?i)^\\s*(?:(?:ep|eps|episode|pt|part|s\\d+e\\d+|season)\\b[\\s.:#-]*\\d*|[\\d\\s.#-]+)\\s*$"
+_BIO = "(?:is|was|serves\\s+as|joins|co-?founded|founded|leads|runs)"
+_LEAD, _OFFSET = 240, 40
+GENERIC_ORG_WORDS = ["ventures", "capital", "partners", "fund", "group", "holdings", "company", "corporation", "incorporated", "limited", "management", "technologies", "labs"]
+_EDGES = " .,-–—|"
+
+
+def _strip(text: Column) -> Column:
+    return F.trim(text, F.lit(_EDGES))
+
+
+def plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "), "\\s+", " "))
 
 
 def hosts(author: Column, show: Column) -> Column:
     """People among the author's parts; none if the author is how the show's name begins."""
-    parts = F.filter(F.transform(F.split(F.coalesce(author, F.lit("")), "\\s*(?:&|,|\\band\\b)\\s*"), names.strip_roles), names.is_person)
-    brand = F.startswith(names.normalize(show), names.normalize(author))
-    return F.when(brand, F.array().cast("array<string>")).otherwise(F.array_distinct(parts))
+    parts = F.filter(F.transform(F.split(F.coalesce(author, F.lit("")), "\\s*(?:&|,| and )\\s*"), lambda x: F.trim(x)), names.is_person)
+    keyed = F.transform(parts, lambda p: F.struct(names.person_key(p).alias("key"), p.alias("name")))
+    once = F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == i + 1)
+    brand = (names.normalize(author) != "") & F.startswith(names.normalize(show), names.normalize(author))
+    return F.when(brand, F.array().cast("array<string>")).otherwise(F.transform(once, lambda x: x["name"]))
+
+
+def title_org(title: Column) -> Column:
+    """The last short parenthesis that is neither a person nor a guest clause: the guest's organisation."""
+    inner = F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("\\(([^)]*)\\)"), 1), lambda x: F.trim(x))
+    good = F.filter(inner, lambda x: (x != "") & ~x.rlike(_WITH) & ~names.is_person(x) & (F.size(F.split(x, "\\s+")) <= 4))
+    return F.coalesce(F.try_element_at(good, F.lit(-1)), F.lit(""))
+
+
+def title_without_parentheses(title: Column) -> Column:
+    return F.regexp_replace(F.trim(title), "\\([^)]*\\)", " ")
+
+
+def title_flat(title: Column) -> Column:
+    """The title with what is in parentheses, without the parentheses."""
+    return F.trim(F.regexp_replace(F.translate(title, "()", "  "), "\\s+", " "))
 
 
 def guest_by_marker(title: Column) -> Column:
-    after = F.regexp_extract(title, "(?i)\\b(?:with|feat\\.?|ft\\.?|featuring)\\s+(.+)$", 1)
-    name = F.trim(F.regexp_replace(after, "(?:[,(|:–—]|\\s-\\s|\\s(?:from|at|of|on)\\s).*$", ""))
+    after = F.regexp_extract(title_flat(F.coalesce(title, F.lit(""))), _WITH, 1)
+    name = _strip(F.get(F.split(after, "\\s*(?:,| from | at | of | on )\\s*"), 0))
     return F.when(names.is_person(name), name)
 
 
 def guest_by_template(title: Column) -> Column:
-    numbered = title.rlike("(?i)(?:^|\\b)(?:ep(?:isode)?\\.?\\s*)?#?\\d+\\b")
-    parts = F.filter(F.transform(F.split(title, "\\s*[:|]\\s*"), F.trim), lambda x: names.is_person(x))
-    return F.when(numbered, F.try_element_at(parts, F.lit(1)))
+    """The first part of a numbered title that is a person."""
+    parts = F.transform(F.split(title_without_parentheses(F.coalesce(title, F.lit(""))), "[:|]"), _strip)
+    found = F.filter(parts, lambda x: (x != "") & ~x.rlike(_MARKER) & names.is_person(x))
+    return F.when(title.rlike(_NUMBERED), F.try_element_at(found, F.lit(1)))
 
 
 def guest_by_bio(title: Column, description: Column) -> Column:
-    """A person who opens the description with a verb of a biography, and is named in the title."""
-    lead = F.substring(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " "), 1, 240)
-    name = F.regexp_extract(lead, f"^\\s*({_NAME})[^.]{{0,40}}?\\b(?:is|was|founded|leads|runs|joins)\\b", 1)
-    return F.when(names.is_person(name) & F.contains(names.normalize(title), names.normalize(name)), name)
+    """A person of the title whom the description introduces at its start, else one who opens it and is in the title."""
+    lead = F.substring(plain(description), 1, _LEAD)
+    slots = F.transform(F.split(title_without_parentheses(F.coalesce(title, F.lit(""))), "[:|]"), lambda x: _strip(F.get(F.split(F.trim(x), "\\s+on\\s+"), 0)))
+    told = lambda x: F.regexp_instr(lead, F.concat(F.lit("(?i)\\b\\Q"), x, F.lit(f"\\E\\b\\s+{_BIO}\\b")))
+    named = F.filter(slots, lambda x: (x != "") & names.is_person(x) & told(x).between(1, _OFFSET + 1))
+    opening = F.regexp_extract(lead, f"^\\s*(?:\\S+\\s+){{0,3}}?([A-Z][\\w.'-]+(?:\\s+[A-Z][\\w.'-]+){{1,3}})\\s+{_BIO}\\b", 1)
+    opens = F.when(names.is_person(opening) & F.contains(names.normalize(title_flat(F.coalesce(title, F.lit("")))), names.normalize(opening)), opening)
+    return F.coalesce(F.try_element_at(named, F.lit(1)), opens)
 
 
 def episodes(items: DataFrame, most: int = 300, least_hits: int = 3, share: float = 0.3) -> DataFrame:
-    """feed, pos, guest of episodes that name one: feed_id, show, author, pos, title, description.
+    """feed, pos, guest, key, org of episodes that name a guest: feed_id, show, author, pos, title, description.
 
     The slot template counts only in feeds that use it often enough; a feed without human hosts has no
     guests; each guest counts once in a feed, where first seen.
@@ -51,18 +89,34 @@ def episodes(items: DataFrame, most: int = 300, least_hits: int = 3, share: floa
     found = rows.withColumn("guest", guest).where("guest is not null and size(hosts) > 0")
     found = found.withColumn("key", names.person_key(F.col("guest"))).where(~F.array_contains(F.transform("hosts", names.person_key), F.col("key")))
     first = F.row_number().over(W.partitionBy("feed_id", "key").orderBy("pos"))
-    return found.withColumn("k", first).where("k = 1").select("feed_id", "pos", "guest", "key")
-
-
-def round_of(text: Column) -> Column:
-    """company, amount and investors of an announcement: a struct; the names after each cue, up to the sentence's end."""
-    company = F.regexp_extract(text, f"^\\s*({_NAME}|\\p{{Lu}}[\\w.-]+)[^.]{{0,60}}?\\b(?:raises|raised|secures|secured|closes|closed)\\b", 1)
-    amount = F.regexp_extract(text, "([$€£]\\s?\\d+(?:\\.\\d+)?\\s?(?:[MBK]\\b|million|billion)?)", 1)
-    marked = F.regexp_replace(text, f"(?i)[,\\s]*\\b({_CUES})\\b", "; $1")  # a cue ends what the one before it names
-    spans = F.regexp_extract_all(marked, F.lit(f"(?i)\\b(?:{_CUES})\\s+([^.;]{{1,220}})"), 1)
-    parts = F.flatten(F.transform(spans, lambda s: F.split(s, "\\s*,\\s*(?:and\\s+)?|\\s+and\\s+")))
-    kept = F.filter(F.transform(parts, lambda x: F.regexp_extract(x, "^((?:\\p{Lu}[\\w&.'-]*\\s?){1,5})", 1)), lambda x: F.trim(x) != "")
-    return F.struct(F.nullif(F.trim(company), F.lit("")).alias("company"), F.nullif(F.trim(amount), F.lit("")).alias("amount"), F.slice(F.array_distinct(F.transform(kept, F.trim)), 1, 12).alias("investors"))
+    return found.withColumn("k", first).where("k = 1").select("feed_id", "pos", "guest", "key", title_org(F.col("title")).alias("org"))
+
+
+def appearances(subjects: DataFrame, items: DataFrame, most: int = 6) -> DataFrame:
+    """(subject, feed_id, pos, host, org): episodes that a subject is a guest of, one row for each host.
+
+    subjects: name, orgs (array). items: as of ``episodes``. The episode must assert the guest (by a clause or a
+    biography, not by a slot); someone who hosts the show is no guest; where organisations of the subject are
+    known, a telling word of one must be in the title or the description.
+    """
+    words = F.array_distinct(F.flatten(F.transform("orgs", lambda o: names.distinctive_tokens(o, GENERIC_ORG_WORDS, 3))))
+    mine = subjects.select(F.col("name").alias("subject"), names.person_key(F.col("name")).alias("key"), F.coalesce(words, F.array().cast("array<string>")).alias("words")).where("key <> ''")
+    guest = F.coalesce(guest_by_marker(F.col("title")), guest_by_bio(F.col("title"), F.col("description")))
+    told = items.withColumn("hosts", hosts(F.col("author"), F.col("show"))).where("size(hosts) > 0").withColumn("guest", guest).where("guest is not null")
+    told = told.withColumn("key", names.person_key(F.col("guest"))).withColumn("hay", names.normalize(F.concat_ws(" ", "title", plain(F.col("description")))))
+    rows = mine.join(told, "key").where(~F.array_contains(F.transform("hosts", names.person_key), F.col("key")))
+    rows = rows.where((F.size("words") == 0) | F.exists("words", lambda w: F.contains(F.col("hay"), w)))
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("subject", "feed_id", "title").orderBy("pos"))).where("k = 1")
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("subject").orderBy("feed_id", "pos"))).where(F.col("k") <= most)
+    return rows.select("subject", "feed_id", "pos", F.explode("hosts").alias("host"), title_org(F.col("title")).alias("org"))
+
+
+def human_feeds(found: DataFrame, most: int = 30) -> DataFrame:
+    """The first ``most`` feeds with a human host, each once: n, rss, show. found: term_pos, pos, show, rss, author."""
+    rows = found.where((F.coalesce("rss", F.lit("")) != "") & (F.size(hosts(F.col("author"), F.col("show"))) > 0))
+    one = rows.groupBy("rss").agg(F.min(F.struct("term_pos", "pos", "show")).alias("f"))
+    top = one.orderBy("f.term_pos", "f.pos", "rss").limit(most)  # at most ``most`` rows
+    return top.select(F.row_number().over(W.orderBy("f.term_pos", "f.pos", "rss")).alias("n"), "rss", F.col("f.show").alias("show"))
 
 
 def co_mentions(pages: DataFrame, most_pages: int = 4, most_people: int = 25) -> DataFrame:

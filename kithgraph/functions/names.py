@@ -7,15 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word lists of the gates (fixed values; short lists of common words).
-STOPWORDS = ["the", "a", "an", "of", "and", "or", "for", "in", "on", "at", "to", "by", "with", "from", "about", "our", "your", "this", "that", "home", "menu", "more", "read", "news", "page"]
-ORG_SUFFIXES = {"capital": "firm", "ventures": "firm", "partners": "firm", "holdings": "firm", "fund": "firm", "inc": "company", "llc": "company", "ltd": "company", "corp": "company", "company": "company", "co": "company", "gmbh": "company", "foundation": "nonprofit", "institute": "nonprofit", "university": "school", "college": "school", "school": "school", "department": "government", "ministry": "government", "conference": "event", "summit": "event"}
-LEGAL_SUFFIXES = ["inc", "llc", "ltd", "corp", "corporation", "company", "co", "gmbh", "plc", "lp", "llp", "holdings"]
-NICKNAMES = {"bob": "robert", "rob": "robert", "bill": "william", "will": "william", "tim": "timothy", "tom": "thomas", "jim": "james", "joe": "joseph", "mike": "michael", "dave": "david", "dan": "daniel", "liz": "elizabeth", "beth": "elizabeth", "kate": "katherine", "sue": "susan", "tony": "anthony", "andy": "andrew", "ben": "benjamin", "sam": "samuel", "nick": "nicholas", "alex": "alexander", "chris": "christopher", "matt": "matthew", "steve": "steven"}
-ROLES = ["ceo", "cto", "cfo", "coo", "founder", "cofounder", "partner", "director", "president", "chairman", "chair", "managing", "general", "vice", "senior", "principal", "manager", "head", "dr", "mr", "mrs", "ms", "prof", "sir"]
-INTERIOR_TITLES = ["officer", "manager", "director", "president", "chairman", "partner"]
-NOISE_TOKENS = ["cookie", "cookies", "privacy", "terms", "login", "subscribe", "newsletter", "copyright", "contact", "podcast", "episode", "click"]
-NOISE_PHRASES = ["all rights reserved", "terms of use", "privacy policy", "sign up", "log in", "learn more", "read more"]
+from kithgraph.functions.vocabulary import DOMAINS, EMBEDDED_TITLES, JOB_WORDS, LEGAL_SUFFIXES, NICKNAMES, NOISE_PHRASES, NOISE_TOKENS, ORG_SUFFIXES, ROLES, STOPWORDS
 
 
 def array(values: Iterable[str]) -> Column:
@@ -32,15 +24,16 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(s, " "), lambda t: t != "")
 
 
-def strip_middle_initials(norm: Column) -> Column:
-    t = F.split(norm, " ")
+def strip_middle_initials(s: Column) -> Column:
+    """Without interior words of one letter; the first and the last word stay."""
+    t = F.split(F.trim(s), "\\s+")
     kept = F.filter(t, lambda x, i: (i == 0) | (i == F.size(t) - 1) | (F.length(F.rtrim(x, F.lit("."))) > 1))
-    return F.when(F.size(t) <= 2, norm).otherwise(F.array_join(kept, " "))
+    return F.when(F.size(t) <= 2, F.trim(s)).otherwise(F.array_join(kept, " "))
 
 
 def person_key(s: Column) -> Column:
     """Normal form without middle initials, the first name in its long form."""
-    t = F.split(strip_middle_initials(normalize(s)), " ")
+    t = F.split(normalize(strip_middle_initials(s)), " ")
     names = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
     return F.array_join(F.transform(t, lambda x, i: F.when(i == 0, F.coalesce(F.try_element_at(names, x), x)).otherwise(x)), " ")
 
@@ -54,31 +47,31 @@ def org_key(s: Column) -> Column:
 
 def strip_roles(s: Column) -> Column:
     """Without role words at either end; interior words stay. May leave nothing."""
-    t = tokens(F.trim(F.coalesce(s, F.lit(""))))
-    own = F.transform(t, lambda x, i: F.when(~F.lower(F.regexp_replace(x, "[^\\p{L}\\p{N}]", "")).isin(*ROLES), i + 1))
+    t = tokens(F.regexp_replace(F.trim(F.coalesce(s, F.lit(""))), "\\s+", " "))
+    own = F.transform(t, lambda x, i: F.when(~F.lower(F.regexp_replace(x, "[^\\p{L}\\p{N}_]", "")).isin(*ROLES), i + 1))
     kept = F.filter(own, lambda i: i.isNotNull())
     first, last = F.array_min(kept), F.array_max(kept)
     return F.when(F.size(kept) == 0, "").otherwise(F.array_join(F.slice(t, first, last - first + 1), " "))
 
 
 def is_noise(s: Column, org_ok: bool = False) -> Column:
-    """What can't be a name: markup, addresses, sentences, navigation, roles alone, organisations."""
+    """What can't be a name: markup, addresses, sentences, navigation, roles alone, titles inside, organisations (unless org_ok)."""
     text, norm = F.trim(F.coalesce(s, F.lit(""))), normalize(s)
-    t = tokens(norm)
-    marks = text.rlike("https?:|www\\.|@|\\.(com|org|net|io)\\b") | text.rlike(" [-|–—:·] ") | text.rlike("[,;!?…]|\\.\\.")
-    shout = (F.size(t) > 1) & (text == F.upper(text)) & (text != F.lower(text))
-    roles = F.forall(t, lambda x: x.isin(*ROLES, *STOPWORDS))
-    org = F.exists(t, lambda x: x.isin(*[w for w in ORG_SUFFIXES if w != "co"]))
-    inside = F.exists(t, lambda x: x.isin(*INTERIOR_TITLES)) & (F.size(F.filter(t, lambda x: ~x.isin(*INTERIOR_TITLES))) >= 3)
-    out = (text == "") | marks | shout | ~text.rlike("[a-zA-ZÀ-ɏ]") | (norm == "") | norm.isin(*NOISE_PHRASES) | roles
+    t, bare = tokens(norm), tokens(normalize(strip_roles(s)))
+    address = F.lower(text).rlike("http|www\\.|@|\\.(com|org|net|io|ai|co|gov|edu)\\b")
+    joined = text.rlike(" [-|–—·•] |•|::") | text.rlike("[,;!?…]|\\.\\.")
+    shout = text.rlike("\\S\\s+\\S") & text.rlike("\\p{Lu}") & ~text.rlike("[\\p{L}&&[^\\p{Lu}]]")
+    roles = F.forall(t, lambda x: x.isin(*dict.fromkeys([*JOB_WORDS, *STOPWORDS, *ROLES])))
+    inside = (F.size(bare) >= 3) & F.exists(bare, lambda x: x.isin(*ROLES, *EMBEDDED_TITLES))
+    out = (text == "") | address | joined | shout | ~text.rlike("[a-zA-ZÀ-ɏ]") | (norm == "") | norm.isin(*NOISE_PHRASES) | roles
     out = out | inside | F.exists(t, lambda x: x.isin(*NOISE_TOKENS))
-    return out if org_ok else out | org
+    return out if org_ok else out | F.exists(t, lambda x: x.isin(*[w for w in ORG_SUFFIXES if w != "co"]))
 
 
 def is_person(s: Column) -> Column:
     """Two to four capitalised words that are no stop or organisation words."""
-    t = tokens(F.trim(F.coalesce(s, F.lit(""))))
-    good = F.forall(t, lambda x: x.rlike("^\\p{Lu}") & (F.length(normalize(x)) >= 2) & ~F.lower(x).isin(*STOPWORDS, *ORG_SUFFIXES))
+    t = tokens(F.regexp_replace(F.trim(F.coalesce(s, F.lit(""))), "\\s+", " "))
+    good = F.forall(t, lambda x: x.rlike("^\\p{Lu}") & (F.length(normalize(x)) >= 2) & ~normalize(x).isin(*dict.fromkeys([*STOPWORDS, *ORG_SUFFIXES])))
     return ~is_noise(s) & F.size(t).between(2, 4) & good
 
 
@@ -98,18 +91,20 @@ def variants(s: Column) -> Column:
 
 
 def search_variants(s: Column, limit: int = 4) -> Column:
-    """The name itself, then its long and short first names."""
-    t = F.split(F.trim(s), " ")
+    """The name without middle initials, then with its long and its short first names."""
+    bare = strip_middle_initials(F.coalesce(s, F.lit("")))
+    t = F.split(bare, "\\s+")
     rest = F.array_join(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), " ")
     longer = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
     shorter: dict[str, list[str]] = {}
     for short, full in NICKNAMES.items():
         shorter.setdefault(full, []).append(short)
     short_of = F.create_map(*[c for k, v in shorter.items() for c in (F.lit(k), array(v))])
-    first = F.lower(F.try_element_at(t, F.lit(1)))
+    first = normalize(F.try_element_at(t, F.lit(1)))
     none = F.array().cast("array<string>")
     other = F.concat(F.coalesce(F.array_compact(F.array(F.try_element_at(longer, first))), none), F.coalesce(F.try_element_at(short_of, first), none))
-    return F.slice(F.array_distinct(F.concat(F.array(F.trim(s)), F.transform(other, lambda x: F.trim(F.concat(F.initcap(x), F.lit(" "), rest))))), 1, limit)
+    all_ = F.slice(F.array_distinct(F.concat(F.array(bare), F.transform(other, lambda x: F.concat(F.initcap(x), F.lit(" "), rest)))), 1, limit)
+    return F.when(bare == "", none).when(F.size(t) < 2, F.array(bare)).otherwise(all_)
 
 
 def distinctive_tokens(s: Column, generic: Iterable[str] = tuple(ORG_SUFFIXES), longer_than: int = 3) -> Column:
@@ -134,23 +129,10 @@ def queue_noise(s: Column) -> Column:
     return is_noise(s) | (n < 2) | (n > 6) | F.coalesce(s, F.lit("")).rlike("[#@_\\x{1F300}-\\x{1FAFF}]|(?i)\\b(official|fan|club|shop|studio)\\b")
 
 
-def filing_person(s: Column) -> Column:
-    """'LAST FIRST MID JR (CIK 0001)' as 'First Mid Last Jr'."""
-    t = tokens(F.lower(F.regexp_replace(s, "\\s*\\(CIK \\d+\\)", "")))
-    suffix = F.filter(t, lambda x: x.isin("jr", "sr", "ii", "iii", "iv"))
-    core = F.filter(t, lambda x: ~x.isin("jr", "sr", "ii", "iii", "iv"))
-    return F.initcap(F.concat_ws(" ", F.slice(core, F.lit(2), F.greatest(F.size(core) - 1, F.lit(0))), F.try_element_at(core, F.lit(1)), F.array_join(suffix, " ")))
-
-
 def filing_cik(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, "\\(CIK (\\d{10})\\)", 1), F.lit(""))
 
 
-def position_tie(position: Column) -> Column:
-    low = F.lower(F.coalesce(position, F.lit("")))
-    return F.when(low.rlike("founder"), "cofounder").when(low.rlike("director|board|trustee|chair"), "board_member").otherwise("colleague")
-
-
 def ellipsis(s: Column, width: int) -> Column:
     return F.when(F.length(s) <= width, s).otherwise(F.concat(F.substring(s, 1, width - 1), F.lit("…")))
 
@@ -164,29 +146,12 @@ def is_qid(s: Column) -> Column:
 
 
 def as_list(cell: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), "[;|]"), F.trim), lambda x: x != "")
-
-
-# Subject areas by their words (fixed values).
-DOMAINS = {
-    "finance": "bank|banker|investor|venture|capital|fund|finance",
-    "technology": "software|engineer|startup|computer|internet|technology",
-    "medicine": "doctor|physician|medicine|surgeon|hospital|nurse",
-    "law": "lawyer|attorney|judge|legal|law",
-    "sports": "football|soccer|player|coach|athlete|basketball",
-    "music": "musician|singer|band|composer|album|guitarist",
-    "film": "actor|actress|film|director|producer|cinema",
-    "academia": "professor|university|scientist|researcher|academic",
-    "politics": "politician|senator|minister|president|congress|mayor",
-    "military": "general|army|navy|soldier|officer|military",
-    "religion": "bishop|priest|pastor|rabbi|church|theologian",
-    "arts": "painter|sculptor|artist|poet|novelist|writer",
-}
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), "[;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def domains_of(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(f"\\b({words})\\b"), F.lit(d)) for d, words in DOMAINS.items()]))
+    return F.array_compact(F.array(*[F.when(low.rlike(f"\\b({'|'.join(words)})\\b"), F.lit(d)) for d, words in DOMAINS.items()]))
 
 
 def domain_conflict(signal: Column, candidate: Column) -> Column:

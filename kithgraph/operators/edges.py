@@ -28,7 +28,7 @@ def add_edges(assertions: DataFrame, include_weak: bool = True) -> DataFrame:
     checked = F.when(allowed, rtype).otherwise(F.raise_error(F.concat(F.lit("not a tie that may be stored: "), F.coalesce(rtype, F.lit("null")))).cast("string"))
     rows = assertions.withColumn("rtype", checked).where("person_1 is not null and person_2 is not null and person_1 <> person_2")
     rows = rows.withColumn("a", F.least("person_1", "person_2")).withColumn("b", F.greatest("person_1", "person_2")).withColumn("source_url", F.nullif("source_url", F.lit("")))
-    first = F.min_by(F.struct("seq", "evidence"), "seq").alias("f")
+    first = F.min(F.struct("seq", "evidence")).alias("f")
     out = rows.groupBy("a", "b", "rtype", "source_url").agg(first, F.count("*").alias("assertions"))
     return out.select("a", "b", "rtype", "source_url", F.col("f.seq").alias("seq"), F.col("f.evidence").alias("evidence"), "assertions")
 
@@ -60,11 +60,14 @@ def portfolio_ties(investments: DataFrame, rosters: DataFrame, cap: int = DEFAUL
     return held.withColumnRenamed("person", "a").join(held.withColumnRenamed("person", "b"), "company").where("a < b").select("company", "a", "b")
 
 
-def co_investments(investments: DataFrame, most_firms: int = DEFAULT.clique_cap) -> DataFrame:
-    """(firm, other, company) of each ordered pair of firms in one company, of up to ``most_firms`` firms."""
+def co_investments(investments: DataFrame) -> DataFrame:
+    """(firm, other, company) of each ordered pair of firms in one company, however many they are.
+
+    The pairs are the result itself; a company with very many firms is one skewed key, which the adaptive
+    sort-merge join splits.
+    """
     rows = investments.select("company", "firm").distinct()
-    rows = rows.join(rows.groupBy("company").agg(F.count("*").alias("n")).where(F.col("n").between(2, most_firms)).select("company"), "company")
-    return rows.join(rows.withColumnRenamed("firm", "other"), "company").where("firm <> other").select("firm", "other", "company")
+    return rows.hint("merge").join(rows.withColumnRenamed("firm", "other"), "company").where("firm <> other").select("firm", "other", "company")
 
 
 def round_ties(listed: DataFrame, rosters: DataFrame, cap: int = DEFAULT.clique_cap) -> DataFrame:

@@ -29,6 +29,25 @@ def monthly_quota(calls: DataFrame, quota: int) -> DataFrame:
     return rows.select("provider", "month", "used", left.alias("remaining"), F.when(left > 0, "ok").otherwise("exhausted").alias("state"))
 
 
+def quota_states(calls: DataFrame, configured: DataFrame, quota: int) -> DataFrame:
+    """provider, month, used, remaining, state: not_configured (the provider has no key), invalid_key (a call was refused), exhausted or ok.
+
+    calls: provider, ts, refused. configured: provider.
+    """
+    rows = calls.groupBy("provider", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("used"), F.bool_or("refused").alias("refused"))
+    rows = rows.join(configured.select("provider").distinct().withColumn("has_key", F.lit(True)), "provider", "left")
+    left = F.greatest(F.lit(0), F.lit(quota) - F.col("used"))
+    state = F.when(F.col("has_key").isNull(), "not_configured").when(F.coalesce("refused", F.lit(False)), "invalid_key").when(left == 0, "exhausted").otherwise("ok")
+    return rows.select("provider", "month", "used", left.alias("remaining"), state.alias("state"))
+
+
+def recorded_stats(records: DataFrame) -> DataFrame:
+    """provider, calls, hits, misses, trips, avg_latency, total_latency. records: provider, kind ('call', 'hit', 'miss', 'trip'), latency of calls."""
+    own = lambda k: F.count_if(F.col("kind") == k)
+    took = F.when(F.col("kind") == "call", F.col("latency"))
+    return records.groupBy("provider").agg(own("call").alias("calls"), own("hit").alias("hits"), own("miss").alias("misses"), own("trip").alias("trips"), F.round(F.avg(took), 3).alias("avg_latency"), F.round(F.coalesce(F.sum(took), F.lit(0.0)), 2).alias("total_latency"))
+
+
 def spaced(arrivals: DataFrame, least_us: int) -> DataFrame:
     """When each call may start so that a provider's calls are ``least_us`` apart: start_us, waited_us.
 
@@ -61,6 +80,11 @@ def recent_jobs(jobs: DataFrame, keep: int = 32) -> DataFrame:
     return jobs.withColumn("k", F.row_number().over(own)).where(F.col("k") <= keep)
 
 
+def open_jobs(jobs: DataFrame, consumed: DataFrame, keep: int = 32) -> DataFrame:
+    """Of the last ``keep`` jobs of each owner those that nobody has taken; a job is taken once. consumed: owner, seq."""
+    return recent_jobs(jobs, keep).join(consumed.select("owner", "seq").distinct(), ["owner", "seq"], "left_anti")
+
+
 def sessions(spans: DataFrame, gap: int) -> DataFrame:
     """Clusters of spans (group_id, start, end) that lie no more than ``gap`` apart: group_id, cluster, start, end, n."""
     own = W.partitionBy("group_id").orderBy("start", "end")

@@ -18,9 +18,9 @@ class Params:
     unusable_routes: int = 3
     weak_floor: float = 0.5  # a weak tie's stored cost stays that much above the tier below
     fanout: int = 6
-    #: Spread of route costs above the best that is searched at first, and added in each retry.
+    #: Spread of route costs above the best that is searched at first, and its growth in each retry.
     first_slack: float = 3.0
-    more_slack: float = 1.0
+    more_slack: float = 2.0
 
 
 DEFAULT = Params()

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from kithgraph.functions import taxonomy
 from kithgraph.operators.edges import neighbours
+from kithgraph.operators.enrichment import frontier_key
 from kithgraph.params import DEFAULT, Params
 from kithgraph.sources.tables import cut
 
@@ -67,7 +68,7 @@ def hop_distances(roots: DataFrame, walk: DataFrame, most: int = 0) -> DataFrame
     tag = uuid.uuid4().hex[:8]
     seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).distinct(), f"bfs-{tag}-0")
     front, k = seen, 0
-    pairs = walk.select(F.col("src").alias("node"), "dst").distinct()
+    pairs = cut(walk.select(F.col("src").alias("node"), "dst").distinct(), f"bfs-{tag}-pairs")
     while not most or k < most:
         k += 1
         new = front.join(pairs, "node").select("root", F.col("dst").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
@@ -78,32 +79,40 @@ def hop_distances(roots: DataFrame, walk: DataFrame, most: int = 0) -> DataFrame
     return seen
 
 
-def cheapest(roots: DataFrame, walk: DataFrame, count_end: bool = True, banned: DataFrame | None = None, target: str | None = None) -> DataFrame:
+def cheapest(roots: DataFrame, walk: DataFrame, count_end: bool = True, banned: DataFrame | None = None, nearest: int = 0, most_hops: int = 0) -> DataFrame:
     """(root, node, cost, hops, path): the cheapest route from each root; ties go by hops, then path.
 
     count_end: whether a route's last node's own penalty counts, too. banned: (id) of nodes that routes may end at
-    but not pass through. roots: root.
+    but not pass through. nearest: where only so many nodes of each root are wanted, the cheapest: labels that
+    cost more than so many found already are not walked on from, since costs only grow. most_hops: hops at
+    most, 0 for no limit. roots: root.
+
+    A round writes only the labels that it has improved.
     """
     tag, k = uuid.uuid4().hex[:8], 0
-    zero = F.array("root")
-    best = cut(roots.select("root", F.col("root").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), zero.alias("path")).alias("l")).distinct(), f"sp-{tag}-0")
-    front = best
-    passable = walk
-    while True:
+    walk = cut(walk.select("src", "dst", "w", "enter"), f"sp-{tag}-walk")
+    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("root").alias("path")).alias("l")
+    front = cut(roots.select("root", F.col("root").alias("node"), label).distinct(), f"sp-{tag}-0")
+    kept = front
+    while not most_hops or k < most_hops:
         k += 1
         start = front
-        if banned is not None:
-            start = front.join(banned.select(F.col("id").alias("node")), "node", "left_anti") if k > 1 else front
-        grown = start.join(passable, F.col("node") == F.col("src")).where(~F.array_contains("l.path", F.col("dst")))
+        if banned is not None and k > 1:
+            start = front.join(banned.select(F.col("id").alias("node")), "node", "left_anti")
+        if nearest and k > 1:
+            best = kept.groupBy("root", "node").agg(F.min("l.cost").alias("c")).where("node <> root")
+            bound = best.withColumn("n", F.row_number().over(W.partitionBy("root").orderBy("c"))).where(F.col("n") == nearest).select("root", F.col("c").alias("bound"))
+            start = start.join(bound, "root", "left").where("bound is null or l.cost < bound").drop("bound")
+        grown = start.join(walk, F.col("node") == F.col("src")).where(~F.array_contains("l.path", F.col("dst")))
         label = F.struct(F.round(F.col("l.cost") + F.col("w") + F.col("enter"), 9).alias("cost"), (F.col("l.hops") + 1).alias("hops"), F.concat("l.path", F.array("dst")).alias("path"))
         new = grown.select("root", F.col("dst").alias("node"), label.alias("l")).groupBy("root", "node").agg(F.min("l").alias("l"))
-        both = best.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-        merged = both.groupBy("root", "node").agg(F.min("l").alias("l"), F.min(F.when(F.col("old"), F.col("l"))).alias("before"))
-        merged = cut(merged.select("root", "node", "l", (F.col("before").isNull() | (F.col("l") < F.col("before"))).alias("changed")), f"sp-{tag}-{k}")
-        best, front = merged.select("root", "node", "l"), merged.where("changed").select("root", "node", "l")
+        both = kept.select("root", "node", "l", F.lit(None).cast("int").alias("new")).unionByName(new.withColumn("new", F.lit(1)))
+        merged = both.groupBy("root", "node").agg(F.min("l").alias("l"), F.min(F.when(F.col("new").isNull(), F.col("l"))).alias("before"))
+        front = cut(merged.where("before is null or l < before").select("root", "node", "l"), f"sp-{tag}-{k}")
         if front.isEmpty():
             break
-    out = best.select("root", "node", "l.cost", "l.hops", "l.path")
+        kept = kept.unionByName(front)
+    out = kept.groupBy("root", "node").agg(F.min("l").alias("l")).select("root", "node", "l.cost", "l.hops", "l.path")
     if not count_end:
         ends = walk.groupBy(F.col("dst").alias("node")).agg(F.max("enter").alias("own"))
         out = out.join(ends, "node", "left").withColumn("cost", F.when(F.col("hops") > 0, F.round(F.col("cost") - F.coalesce("own", F.lit(0.0)), 9)).otherwise(F.col("cost"))).drop("own")
@@ -112,9 +121,9 @@ def cheapest(roots: DataFrame, walk: DataFrame, count_end: bool = True, banned:
 
 def discover(root: DataFrame, ties: DataFrame, people: DataFrame, limit: int = 20, p: Params = DEFAULT) -> DataFrame:
     """The warmest people around each root: root, rank, node, name, cost, hops, warmth, via (the first tie's label)."""
-    adj = adjacency(ties)
-    walk = steps(adj, penalties(people, adj, p), p)
-    found = cheapest(root, walk).where("hops > 0")
+    adj = cut(adjacency(ties), f"adj-{uuid.uuid4().hex[:8]}")
+    walk = cut(steps(adj, penalties(people, adj, p), p), f"walk-{uuid.uuid4().hex[:8]}")
+    found = cheapest(root, walk, nearest=limit).where("hops > 0")
     own = W.partitionBy("root").orderBy("cost", "node")
     top = found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
     first = walk.select(F.col("src").alias("root"), F.col("dst").alias("second"), taxonomy.label(F.col("rtype")).alias("via"))
@@ -123,34 +132,41 @@ def discover(root: DataFrame, ties: DataFrame, people: DataFrame, limit: int = 2
     return top.join(names, "node", "left").select("root", "rank", "node", F.coalesce("name", F.col("node").cast("string")).alias("name"), F.round("cost", 6).alias("cost"), "hops", taxonomy.warmth_score(F.col("cost"), F.col("hops")).alias("warmth"), "via")
 
 
-def routes(pairs: DataFrame, walk: DataFrame, banned: DataFrame | None = None, p: Params = DEFAULT, shown: int | None = None) -> DataFrame:
+def routes(pairs: DataFrame, walk: DataFrame, banned: DataFrame | None = None, p: Params = DEFAULT, shown: int | None = None, most_hops: int = 0) -> DataFrame:
     """The cheapest loopless routes of each (src, dst) pair: src, dst, rank, cost, hops, path, bridges.
 
     Partial routes grow from the source and are kept while their cost plus the cheapest rest (from a
-    search backward from the target) is within a slack of the best; the slack grows until there are
-    ``generated_routes`` of them or none is left. Then a route goes whose bridges include all of a
-    cheaper route's.
+    search backward from the target) is within a slack of the best; those beyond it wait, and go on when the
+    slack has grown, until there are ``generated_routes`` routes or nothing waits. Then a route goes whose bridges include all of a
+    cheaper route's. most_hops: hops at most, 0 for no limit.
     """
     tag = uuid.uuid4().hex[:8]
     pairs = cut(pairs.select("src", "dst").where("src <> dst").distinct(), f"kr-{tag}-pairs")
-    back = walk.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "enter", "rtype")
+    back = walk.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     # entering costs: of the node entered when walking forward; the target's own never counts
     enter = walk.groupBy(F.col("dst").alias("id")).agg(F.max("enter").alias("own"))
-    back = back.drop("enter").join(enter.withColumnRenamed("id", "src"), "src", "left").select("src", "dst", "w", F.coalesce("own", F.lit(0.0)).alias("enter"), "rtype")
-    rest = cheapest(pairs.select(F.col("dst").alias("root")).distinct(), back, banned=banned).select(F.col("root").alias("dst"), "node", F.col("cost").alias("h"))
+    back = back.join(enter.withColumnRenamed("id", "src"), "src", "left").select("src", "dst", "w", F.coalesce("own", F.lit(0.0)).alias("enter"))
+    rest = cheapest(pairs.select(F.col("dst").alias("root")).distinct(), back, banned=banned, most_hops=most_hops).select(F.col("root").alias("dst"), "node", F.col("cost").alias("h"))
     own = enter.withColumnRenamed("id", "dst")
     rest = cut(rest.join(own, "dst", "left").select("dst", "node", F.when(F.col("node") == F.col("dst"), 0.0).otherwise(F.col("h") - F.coalesce("own", F.lit(0.0))).alias("h")), f"kr-{tag}-rest")
-    best = pairs.join(rest.withColumnRenamed("node", "src"), ["src", "dst"]).select("src", "dst", F.col("h").alias("best"))
-    todo, done, slack = best, None, p.first_slack
+    steps_ = walk.select(F.col("src").alias("node"), F.col("dst").alias("next"), "w", "enter")
+    if banned is not None:
+        steps_ = steps_.join(banned.select(F.col("id").alias("next"), F.lit(True).alias("ban")), "next", "left")
+    else:
+        steps_ = steps_.withColumn("ban", F.lit(None).cast("boolean"))
+    steps_ = cut(steps_, f"kr-{tag}-steps")
+    start = pairs.join(rest.select("dst", F.col("node").alias("src"), "h"), ["src", "dst"])
+    waiting = cut(start.select("src", "dst", F.col("h").alias("best"), F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.array("src").alias("path"), "h"), f"kr-{tag}-start")
+    done, slack, k = None, p.first_slack, 0
     while True:
-        full = _bounded(todo.withColumn("bound", F.col("best") + slack), walk, rest, banned, f"kr-{tag}-{slack}")
-        counts = full.groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("left_out").alias("more"))
-        short = cut(todo.join(counts.where((F.col("n") < p.generated_routes) & F.col("more")).select("src", "dst"), ["src", "dst"], "left_semi"), f"kr-{tag}-todo-{slack}")
-        ready = full.join(short.select("src", "dst"), ["src", "dst"], "left_anti")
-        done = ready if done is None else done.unionByName(ready)
-        if short.isEmpty():
+        k += 1
+        found, waiting = _grown(waiting, slack, steps_, rest, most_hops, f"kr-{tag}-{k}")
+        done = found if done is None else done.unionByName(found)
+        enough = done.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= p.generated_routes)
+        waiting = cut(waiting.join(enough, ["src", "dst"], "left_anti"), f"kr-{tag}-{k}-waiting")
+        if waiting.isEmpty():
             break
-        todo, slack = short, slack + p.more_slack
+        slack *= p.more_slack
     ranked = done.withColumn("rank", F.row_number().over(W.partitionBy("src", "dst").orderBy("cost", "hops", "path"))).where(F.col("rank") <= p.generated_routes)
     ranked = cut(ranked.select("src", "dst", "rank", "cost", "hops", "path", bridges(F.col("path")).alias("bridges")), f"kr-{tag}-ranked")
     other = ranked.select("src", "dst", F.col("rank").alias("r"), F.col("bridges").alias("bs"))
@@ -160,34 +176,22 @@ def routes(pairs: DataFrame, walk: DataFrame, banned: DataFrame | None = None, p
     return kept.where(F.col("rank") <= (shown or p.shown_routes))
 
 
-def _bounded(todo: DataFrame, walk: DataFrame, rest: DataFrame, banned: DataFrame | None, tag: str) -> DataFrame:
-    """All loopless routes within each pair's bound; left_out tells whether the bound has cut any off."""
-    front = todo.select("src", "dst", "bound", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.array("src").alias("path"))
+def _grown(waiting: DataFrame, slack: float, steps_: DataFrame, rest: DataFrame, most_hops: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """The routes that partial routes grow into within ``slack`` of their pair's best, and the partial routes beyond it, which wait for a larger one."""
     ends = rest.select("dst", F.col("node").alias("next"), "h")
-    steps_ = walk.select(F.col("src").alias("node"), F.col("dst").alias("next"), "w", "enter")
-    if banned is not None:
-        ban = banned.select(F.col("id").alias("next")).withColumn("ban", F.lit(True))
-        steps_ = steps_.join(ban, "next", "left")
-    else:
-        steps_ = steps_.withColumn("ban", F.lit(None).cast("boolean"))
-    found, k = [], 0
-    cuts = []
+    inside = F.col("cost") + F.col("h") <= F.col("best") + slack + 1e-9
+    found, later, front, k = waiting.where(inside & (F.col("node") == F.col("dst"))), waiting.where(~inside), waiting.where(inside & (F.col("node") != F.col("dst"))), 0
     while True:
         k += 1
-        grown = front.join(steps_, "node").where(~F.array_contains("path", F.col("next"))).where("ban is null or next = dst").join(ends, ["dst", "next"])
+        grown = front.where(F.size("path") <= most_hops) if most_hops else front
+        grown = grown.drop("h").join(steps_, "node").where(~F.array_contains("path", F.col("next"))).where("ban is null or next = dst").join(ends, ["dst", "next"])
         cost = F.round(F.col("cost") + F.col("w") + F.when(F.col("next") == F.col("dst"), 0.0).otherwise(F.col("enter")), 9)
-        grown = grown.select("src", "dst", "bound", F.col("next").alias("node"), cost.alias("cost"), F.concat("path", F.array("next")).alias("path"), "h")
-        grown = cut(grown.withColumn("inside", F.col("cost") + F.col("h") <= F.col("bound") + 1e-9), f"{tag}-{k}")
-        found.append(grown.where("inside and node = dst"))
-        cuts.append(grown.where("not inside").select("src", "dst").distinct())
-        front = grown.where("inside and node <> dst").drop("h", "inside")
+        grown = cut(grown.select("src", "dst", "best", F.col("next").alias("node"), cost.alias("cost"), F.concat("path", F.array("next")).alias("path"), "h"), f"{tag}-{k}")
+        found, later = found.unionByName(grown.where(inside & (F.col("node") == F.col("dst")))), later.unionByName(grown.where(~inside))
+        front = grown.where(inside & (F.col("node") != F.col("dst")))
         if front.isEmpty():
             break
-    full, out = found[0], cuts[0]
-    for x, y in zip(found[1:], cuts[1:], strict=True):
-        full, out = full.unionByName(x), out.unionByName(y)
-    full = full.select("src", "dst", "cost", (F.size("path") - 1).alias("hops"), "path")
-    return cut(full.join(out.distinct().withColumn("left_out", F.lit(True)), ["src", "dst"], "left").na.fill(False, ["left_out"]), f"{tag}-full")
+    return found.select("src", "dst", "cost", (F.size("path") - 1).alias("hops"), "path"), later
 
 
 def bridges(path: Column) -> Column:
@@ -199,7 +203,7 @@ def unroutable(nodes: DataFrame) -> DataFrame:
     return nodes.where("fame > 0").select("id")
 
 
-def connect(pairs: DataFrame, ties: DataFrame, people: DataFrame, p: Params = DEFAULT, weak_retry: bool = False) -> DataFrame:
+def connect(pairs: DataFrame, ties: DataFrame, people: DataFrame, p: Params = DEFAULT, weak_retry: bool = False, most_hops: int = 0) -> DataFrame:
     """Routes of each pair, usable ones first: src, dst, rank, usable, worst_fame, route_cost, tie_cost, warmth, hops, path, blocked.
 
     First famous people are banned as bridges. Pairs without a route then are searched again without the
@@ -209,16 +213,16 @@ def connect(pairs: DataFrame, ties: DataFrame, people: DataFrame, p: Params = DE
     nodes = cut(penalties(people, adj, p), f"nodes-{uuid.uuid4().hex[:8]}")
     walk = cut(steps(adj, nodes, p), f"walk-{uuid.uuid4().hex[:8]}")
     famous = unroutable(nodes)
-    first = routes(pairs, walk, famous, p)
+    first = routes(pairs, walk, famous, p, most_hops=most_hops)
     left = pairs.join(first.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    found = first.unionByName(routes(left, walk, None, p, p.unusable_routes))
+    found = first.unionByName(routes(left, walk, None, p, p.unusable_routes, most_hops))
     out = serialized(found, walk, people, nodes)
     if weak_retry:
         missing = pairs.join(out.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
         loose = cut(adjacency(ties, include_weak=True), f"adj-{uuid.uuid4().hex[:8]}")
         near = penalties(people, loose, p)
         walk2 = cut(steps(loose, near, p), f"walk-{uuid.uuid4().hex[:8]}")
-        out = out.unionByName(serialized(routes(missing, walk2, None, p), walk2, people, near))
+        out = out.unionByName(serialized(routes(missing, walk2, None, p, most_hops=most_hops), walk2, people, near))
     return out
 
 
@@ -247,12 +251,43 @@ def suggestions(pairs: DataFrame, free: DataFrame, plain: DataFrame) -> DataFram
 
 
 def rank_frontier(candidates: DataFrame, fanout: int = DEFAULT.fanout, prefer_notable: bool = False) -> DataFrame:
-    """The people to look at next, of each owner: meets the other side, via podcast, warm, notable, degree.
+    """The people to look at next, of each owner, by ``enrichment.frontier_key``.
 
     candidates: owner, person, meets, via_podcast, is_warm, notable, degree; a person's best row counts.
     """
-    notable = F.col("notable") if prefer_notable else F.lit(False)
-    key = F.struct((~F.col("meets")).alias("k1"), (~F.col("via_podcast")).alias("k2"), (~F.col("is_warm")).alias("k3"), (~notable).alias("k4"), (-F.col("degree")).alias("k5"))
+    key = frontier_key(F.col("meets"), F.col("via_podcast"), F.col("is_warm"), F.col("notable"), F.col("degree"), prefer_notable)
     rows = candidates.groupBy("owner", "person").agg(F.min(key).alias("key"))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("owner").orderBy("key", "person")))
     return ranked.where(F.col("rank") <= fanout).select("owner", "person", "rank")
+
+
+def dual_distances(roots: DataFrame, adj: DataFrame, without: str = "co_star") -> DataFrame:
+    """(root, node, hops, direct): fewest steps, and the fewest without ties of a type (null where there are none)."""
+    pairs = neighbours(adj, "rtype")
+    every, some = hop_distances(roots, pairs), hop_distances(roots, pairs.where(F.col("rtype") != without))
+    return every.join(some.withColumnRenamed("hops", "direct"), ["root", "node"], "left")
+
+
+def route_hops(found: DataFrame, ties: DataFrame) -> DataFrame:
+    """The hops of routes: src, dst, rank, pos, a, b, rtype, tier, label, evidence, source_url.
+
+    found: src, dst, rank, path. ties: a, b, rtype, source_url, evidence; of a pair the tie that is walked counts.
+    """
+    cost = taxonomy.edge_cost(F.col("rtype"), True)
+    first = F.min(F.struct(cost.alias("cost"), "rtype", F.coalesce("source_url", F.lit("")).alias("source_url"), "evidence")).alias("f")
+    best = ties.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(first).select("x", "y", "f.*")
+    hop = found.select("src", "dst", "rank", "path", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("pos", "p"))
+    hop = hop.withColumn("q", F.element_at("path", F.col("pos") + 2)).withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q")).join(best, ["x", "y"])
+    return hop.select("src", "dst", "rank", "pos", F.col("p").alias("a"), F.col("q").alias("b"), "rtype", taxonomy.tier(F.col("rtype")).alias("tier"), taxonomy.label(F.col("rtype")).alias("label"), "evidence", "source_url")
+
+
+def outcomes(pairs: DataFrame, found: DataFrame, adj: DataFrame, most_hops: int = 0) -> DataFrame:
+    """(src, dst, state, hops) of each pair: 'found'; 'beyond' (connected, but no route is allowed); 'apart'; 'unknown' (an end has no tie)."""
+    pairs = pairs.select("src", "dst").distinct()
+    far = hop_distances(pairs.select(F.col("src").alias("root")).distinct(), neighbours(adj)).select(F.col("root").alias("src"), F.col("node").alias("dst"), "hops")
+    known = degrees(adj).select("id")
+    rows = pairs.join(found.select("src", "dst").distinct().withColumn("hit", F.lit(True)), ["src", "dst"], "left").join(far, ["src", "dst"], "left")
+    for end in ("src", "dst"):
+        rows = rows.join(known.select(F.col("id").alias(end), F.lit(True).alias(f"k_{end}")), end, "left")
+    lost = F.col("k_src").isNull() | F.col("k_dst").isNull()
+    return rows.select("src", "dst", F.when(F.col("hit"), "found").when(lost, "unknown").when(F.col("hops").isNotNull(), "beyond").otherwise("apart").alias("state"), "hops")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.functions import names, taxonomy, urls
 from kithgraph.operators import audit, edges, resolve, stateful
+from kithgraph.params import Params
 from kithgraph.plans import graph
 from kithgraph.plans.projection import table, view, with_views
 
@@ -64,7 +65,7 @@ def node_penalties(s, d):
     return rows.select("id", "degree", F.round("hub", 6).alias("hub"), "fame", F.round("penalty", 6).alias("penalty"))
 
 
-@query("""select least(person_1, person_2) as a, greatest(person_1, person_2) as b, rtype, source_url, min(seq) as seq, arg_min(evidence, seq) as evidence, count(*) as assertions
+@query("""select least(person_1, person_2) as a, greatest(person_1, person_2) as b, rtype, source_url, min(seq) as seq, first(evidence order by seq, evidence) as evidence, count(*) as assertions
 from ties where person_1 <> person_2 group by 1, 2, 3, 4""")
 def asserted_edges(s, d):
     return edges.add_edges(view(s, d, "ties"))
@@ -110,29 +111,81 @@ def cheapest_routes_from_root(s, d):
 
 
 @query(f"""with {_WALK}, {_bellman(7, '(select min(src) from nb)')}, tp as (select node, cost, hops, path[2] as second, row_number() over (order by cost, node) as rank from d7 where hops > 0)
-select (select min(src) from nb) as root, cast(rank as int) as rank, tp.node, p.name, round(tp.cost, 6) as cost, tp.hops, round(1 / (1 + tp.cost), 3) as warmth, replace(nb.rtype, '_', ' ') as via
+select (select min(src) from nb) as root, cast(rank as int) as rank, tp.node, p.name, round(tp.cost, 6) as cost, tp.hops, round(1 / (1 + tp.cost), 3) as warmth, {taxonomy.label_sql('nb.rtype')} as via
 from tp left join people p on p.id = tp.node join nb on nb.src = (select min(src) from nb) and nb.dst = tp.second where rank <= 20""")
 def discover_top(s, d):
     ties = roster_ties(s, d)
     return graph.discover(ties.agg(F.min("a").alias("root")), ties, view(s, d, "people"), 20)
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return roster_ties(s, d).agg(F.min("a").alias("src"), F.max("b").alias("dst"))
+_SPARSE = f"""sr as (select least(a, b) as a, greatest(a, b) as b, rtype, source_url, evidence, {taxonomy.cost_sql('rtype')} as cost from sparse_ties), sk as (select *, row_number() over (partition by a, b order by cost, rtype, source_url) as k from sr),
+sa as (select * from sk where k = 1), sn as (select a as src, b as dst, cost from sa union all select b, a, cost from sa), sd as (select src as id, count(*) as degree from sn group by src),
+sp as (select sd.id, case when degree > 50 then 0.6 * ln(degree / 50.0) else 0.0 end as hub, case when is_warm or qid is null then 0.0 when sitelinks = 0 or sitelinks >= 8 then 6.0 else 0.0 end as fame, sitelinks from sd left join sparse_people q on q.id = sd.id),
+sw as (select sn.src, sn.dst, sn.cost + 2.0 as base, sp.hub + sp.fame as pen, sp.fame > 0 as famous from sn join sp on sp.id = sn.dst),
+pr as (select 'C' || x as src, 'C' || (x + 20) as dst from (select unnest(range(24)) as x) z)"""
+_ROUTES = f"""with recursive {_SPARSE}, pa as (select src, dst, src as node, [src] as path, cast(0 as double) as cost, cast(0 as double) as tie, false as fam from pr union all
+select pa.src, pa.dst, w.dst, list_append(path, w.dst), round(pa.cost + w.base + case when w.dst = pa.dst then 0 else w.pen end, 9), tie + w.base, fam or (w.famous and w.dst <> pa.dst) from pa join sw w on w.src = pa.node where pa.node <> pa.dst and len(path) <= 6 and not list_contains(path, w.dst)),
+fu as (select *, path[2:len(path) - 1] as br, len(path) - 1 as hops from pa where node = dst), ok as (select distinct src, dst from fu where not fam), us as (select * from fu where not fam union all select fu.* from fu anti join ok using (src, dst)),
+rk as (select *, row_number() over (partition by src, dst order by cost, hops, path) as r from us), rr as (select * from rk where r <= 24),
+kp as (select *, row_number() over (partition by src, dst order by r) as q from rr where not exists (select 1 from rr o where o.src = rr.src and o.dst = rr.dst and o.r < rr.r and list_has_all(rr.br, o.br))), sh as (select * from kp where q <= 3)"""
 
 
-@query()
+def _pairs(s: SparkSession) -> DataFrame:
+    return s.range(24).select(F.concat(F.lit("C"), "id").alias("src"), F.concat(F.lit("C"), F.col("id") + 20).alias("dst"))
+
+
+def _sparse(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return view(s, d, "sparse_ties"), view(s, d, "sparse_people")
+
+
+@query(f"""{_ROUTES}, sb as (select sh.*, list_sort(list_filter(br, lambda x: x in (select id from sp where fame > 0))) as blocked from sh), sf as (select sb.*, coalesce((select max(sitelinks) from sp where list_contains(sb.blocked, sp.id)), 0) as worst from sb)
+select src, dst, cast(row_number() over (partition by src, dst order by len(blocked) > 0, worst, round(1 / (1 + round(tie, 6)), 3) desc, hops, cost, path) as int) as rank, len(blocked) = 0 as usable, worst as worst_fame, cost as route_cost, round(tie, 6) as tie_cost, round(1 / (1 + round(tie, 6)), 3) as warmth, hops,
+array_to_string(path, '>') as path, array_to_string(blocked, '>') as blocked from sf""".replace("list_filter(br, lambda x: x in (select id from sp where fame > 0))", "list_intersect(br, (select list(id) from sp where fame > 0))"))
 def connect_routes(s, d):
-    return graph.connect(_pairs(s, d), roster_ties(s, d), view(s, d, "people"))
+    found = graph.connect(_pairs(s), *_sparse(s, d), most_hops=6)
+    return found.withColumns({c: F.array_join(c, ">") for c in ("path", "blocked")})
+
+
+@query(f"""{_ROUTES}, hp as (select src, dst, q as rank, path, unnest(range(hops)) as pos from sh) select src, dst, cast(rank as int) as rank, cast(pos as int) as pos, path[pos + 1] as a, path[pos + 2] as b, sa.rtype, cast({taxonomy.tier_sql('sa.rtype')} as int) as tier, {taxonomy.label_sql('sa.rtype')} as label, evidence, source_url
+from hp join sa on sa.a = least(path[pos + 1], path[pos + 2]) and sa.b = greatest(path[pos + 1], path[pos + 2])""")
+def route_hops(s, d):
+    ties, people = _sparse(s, d)
+    adj = graph.adjacency(ties)
+    nodes = graph.penalties(people, adj)
+    walk = graph.cut(graph.steps(adj, nodes), "walk")
+    first = graph.routes(_pairs(s), walk, graph.unroutable(nodes), most_hops=6)
+    left = _pairs(s).join(first.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    found = first.unionByName(graph.routes(left, walk, None, most_hops=6))
+    return graph.route_hops(found, ties)
+
+
+def _two_bellman(rounds: int, tag: str, banned: bool) -> str:
+    out = f"{tag}0 as (select src as root, src as node, cast(0 as double) as cost, 0 as hops, [src] as path from pr)"
+    pass_ = "and (d.hops = 0 or not exists (select 1 from sp where sp.id = d.node and sp.fame > 0))" if banned else ""
+    for k in range(1, rounds + 1):
+        out += f""", {tag}{k} as materialized (select root, node, cost, hops, path from (select *, row_number() over (partition by root, node order by cost, hops, path) as k from (select * from {tag}{k - 1} union all
+          select d.root, w.dst, round(d.cost + w.base + w.pen, 9), d.hops + 1, list_append(d.path, w.dst) from {tag}{k - 1} d join sw w on w.src = d.node where not list_contains(d.path, w.dst) {pass_}) u) where k = 1)"""
+    return out
 
 
-@query()
+@query(f"""with {_SPARSE.replace("then 6.0", "then 0.5")}, {_two_bellman(12, 'fa', False)}, {_two_bellman(12, 'fb', True)}, e as (select id, hub + fame as own from sp)
+select pr.src, pr.dst, round(round(b.cost - e.own, 9) - round(a.cost - e.own, 9), 2) as improvement, array_to_string(a.path[2:len(a.path) - 1], '>') as through
+from pr join fa12 a on a.root = pr.src and a.node = pr.dst join fb12 b on b.root = pr.src and b.node = pr.dst join e on e.id = pr.dst where a.cost < b.cost""")
 def route_suggestions(s, d):
-    adj = roster_adj(s, d)
-    nodes = graph.penalties(view(s, d, "people"), adj)
-    walk, pairs = graph.steps(adj, nodes), _pairs(s, d)
+    ties, people = _sparse(s, d)
+    adj = graph.adjacency(ties)
+    nodes = graph.cut(graph.penalties(people, adj, Params(fame_cost=0.5)), "nodes")
+    walk, pairs = graph.cut(graph.steps(adj, nodes), "walk"), _pairs(s)
     best = lambda banned: graph.cheapest(pairs.select(F.col("src").alias("root")), walk, count_end=False, banned=banned).select(F.col("root").alias("src"), F.col("node").alias("dst"), "cost", "path")
-    return graph.suggestions(pairs, best(None), best(graph.unroutable(nodes)))
+    return graph.suggestions(pairs, best(None), best(graph.unroutable(nodes))).withColumn("through", F.array_join("through", ">"))
+
+
+@query(f"""with recursive {_SPARSE}, di as (select src, src as node, 0 as hops from pr union select di.src, sn.dst, di.hops + 1 from di join sn on sn.src = di.node where di.hops < 40), dm as (select src, node, min(hops) as hops from di group by 1, 2)
+select pr.src, pr.dst, case when hops <= 4 then 'found' when pr.src not in (select id from sd) or pr.dst not in (select id from sd) then 'unknown' when hops is not null then 'beyond' else 'apart' end as state, hops from pr left join dm on dm.src = pr.src and dm.node = pr.dst""")
+def pair_outcomes(s, d):
+    adj = graph.adjacency(view(s, d, "sparse_ties"))
+    far = graph.hop_distances(_pairs(s).select(F.col("src").alias("root")), edges.neighbours(adj), 4).select(F.col("root").alias("src"), F.col("node").alias("dst"))
+    return graph.outcomes(_pairs(s), _pairs(s).join(far, ["src", "dst"], "left_semi"), adj)
 
 
 _FIRMS = "fr as (select org as firm, person from memberships join orgs on orgs.id = org where type = 'firm'), iv as (select distinct l_suppkey as company, l_partkey as firm from lineitem join orgs on orgs.id = l_partkey where type = 'firm')"
@@ -161,7 +214,7 @@ def round_ties(s, d):
     return edges.round_ties(rows, rosters, 60)
 
 
-@query("with sm as (select company from investments group by company having count(*) between 2 and 40) select x.firm, y.firm as other, x.company from investments x join investments y on x.company = y.company and x.firm <> y.firm join sm on sm.company = x.company")
+@query("select x.firm, y.firm as other, x.company from investments x join investments y on x.company = y.company and x.firm <> y.firm")
 def co_investments(s, d):
     return edges.co_investments(view(s, d, "investments"))
 
@@ -232,8 +285,8 @@ def enrichment_queue(s, d):
     return audit.queue(view(s, d, "people"), far, graph.degrees(adj))
 
 
-@query(f"""with {_ADJ}, c as (select nb.src as owner, nb.dst as person, p.sitelinks >= 8 as meets, p.id % 5 = 0 as via_podcast, p.is_warm, dg.degree from nb join people p on p.id = nb.dst join dg on dg.id = nb.dst),
-k as (select owner, person, row_number() over (partition by owner order by not meets, not via_podcast, not is_warm, degree desc, person) as rank from c) select owner, person, cast(rank as int) as rank from k where rank <= 6""")
+@query(f"""with {_ADJ}, c as (select nb.src as owner, nb.dst as person, p.sitelinks >= 8 as meets, p.id % 5 = 0 as via_podcast, p.is_warm, p.qid is not null as notable, dg.degree from nb join people p on p.id = nb.dst join dg on dg.id = nb.dst),
+k as (select owner, person, row_number() over (partition by owner order by not meets, not via_podcast, not is_warm, notable, degree, person) as rank from c) select owner, person, cast(rank as int) as rank from k where rank <= 6""")
 def ranked_frontier(s, d):
     adj = roster_adj(s, d)
     rows = edges.neighbours(adj).select(F.col("src").alias("owner"), F.col("dst").alias("person"))
@@ -252,13 +305,13 @@ _STRIP_SQL = "case when len({0}) <= 2 then {0} else list_filter({0}, lambda x, i
 
 
 def _key_sql(column: str) -> str:
-    t = _STRIP_SQL.format(f"string_split({_NORM_SQL.format(column)}, ' ')")
-    return f"array_to_string(list_transform({t}, lambda x, i: case when i = 1 then {_NICK_SQL.format('x')} else x end), ' ')"
+    bare = f"array_to_string({_STRIP_SQL.format(f"string_split({column}, ' ')")}, ' ')"
+    return f"array_to_string(list_transform(string_split({_NORM_SQL.format(bare)}, ' '), lambda x, i: case when i = 1 then {_NICK_SQL.format('x')} else x end), ' ')"
 
 
 _MENTIONS = f"m as (select c_custkey as seq, {_SURFACE_SQL} as surface, case when c_mktsegment = 'MACHINERY' then 'Q' || (c_custkey % 90) end as qid, c_nationkey = 0 as is_warm from customer), mk as (select *, {_key_sql('surface')} as norm from m)"
-_NODES = f"""{_MENTIONS}, hm as (select qid, arg_min(norm, seq) as home, min(seq) as since from mk where qid is not null group by qid),
-ho as (select qid, case when row_number() over (partition by home order by since) = 1 then home else home || '#' || qid end as own from hm), nd as (select mk.*, coalesce(own, norm) as node from mk left join ho using (qid))"""
+_NODES = f"""{_MENTIONS}, hm as (select qid, first(norm order by seq, norm) as home, min(seq) as since from mk where qid is not null group by qid),
+ho as (select qid, case when row_number() over (partition by home order by since, qid) = 1 then home else home || '#' || qid end as own from hm), nd as (select mk.*, coalesce(own, norm) as node from mk left join ho using (qid))"""
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
@@ -271,25 +324,25 @@ def assigned_people(s, d):
 
 
 @query(f"""with {_NODES}, v as (select *, unnest(list_distinct([surface, array_to_string({_STRIP_SQL.format("string_split(surface, ' ')")}, ' ')])) as v from nd),
-c as (select node, first(v order by length(v) desc, seq) as canonical, list_sort(list(distinct v)) as vs, max(qid) as qid, bool_or(is_warm) as is_warm, count(distinct seq) as mentions from v group by node)
+c as (select node, first(v order by length(v) desc, seq, v desc) as canonical, list_sort(list(distinct v)) as vs, max(qid) as qid, bool_or(is_warm) as is_warm, count(distinct seq) as mentions from v group by node)
 select node, canonical, array_to_string(list_filter(vs, lambda x: x <> canonical), '|') as aliases, qid, is_warm, mentions from c""")
 def resolved_people(s, d):
     return resolve.resolve_people(_mentions(s, d)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
-@query(r"select regexp_replace(lower(p_brand), '[^\p{L}\p{N}_\s]', ' ', 'g') as key, arg_min(p_brand, p_partkey) as name, coalesce(arg_min(case when p_size % 3 = 0 then 'unknown' else 'company' end, case when p_size % 3 <> 0 then p_partkey end) filter (p_size % 3 <> 0), 'unknown') as type, max(p_size) as member_count from part group by 1")
+@query(r"select regexp_replace(lower(p_brand), '[^\p{L}\p{N}_\s]', ' ', 'g') as key, first(p_brand order by p_partkey, p_brand) as name, coalesce(arg_min(case when p_size % 3 = 0 then 'unknown' else 'company' end, case when p_size % 3 <> 0 then p_partkey end) filter (p_size % 3 <> 0), 'unknown') as type, max(p_size) as member_count from part group by 1")
 def resolved_orgs(s, d):
     p = table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("name"), F.when(F.col("p_size") % 3 == 0, "unknown").otherwise("company").alias("type"), F.col("p_size").alias("member_count"))
     return resolve.resolve_orgs(p)
 
 
-@query("select source_url as url, arg_min(evidence, seq) as title, 'orders' as provider from ties group by source_url")
+@query("select source_url as url, first(evidence order by seq, evidence) as title, 'orders' as provider from ties group by source_url")
 def resolved_sources(s, d):
     t = view(s, d, "ties").select("seq", F.col("source_url").alias("url"), F.col("evidence").alias("title"), F.lit("orders").alias("provider"))
     return resolve.resolve_sources(t)
 
 
-@query("select lower(s_name) || '.example' as domain, arg_min(p_name, l_orderkey * 10 + l_linenumber) as name from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by 1")
+@query("select lower(s_name) || '.example' as domain, first(p_name order by l_orderkey * 10 + l_linenumber, p_name) as name from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by 1")
 def resolved_companies(s, d):
     rows = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return resolve.resolve_companies(rows.select(F.expr("l_orderkey * 10 + l_linenumber").alias("seq"), F.col("p_name").alias("name"), F.concat("s_name", F.lit(".example")).alias("domain")))
@@ -317,13 +370,7 @@ def org_types(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), names.org_type(n).alias("org_type"))
 
 
-@query()
-def name_gates(s, d):
-    t = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(_SURFACE).alias("n"), F.col("c_name"))
-    return t.select("id", names.is_person(F.col("n")).alias("person"), names.is_noise(F.col("c_name")).alias("noise"), F.array_join(names.search_variants(F.col("n")), "|").alias("variants"), names.strip_roles(F.concat(F.lit("Partner "), "n")).alias("bare"), names.queue_noise(F.col("c_name")).alias("queue_noise"))
-
-
-_DOMAIN_SQL = "list_filter([" + ", ".join(f"case when regexp_matches(lower(text), '\\b({w})\\b') then '{k}' end" for k, w in names.DOMAINS.items()) + "], lambda x: x is not null)"
+_DOMAIN_SQL = "list_filter([" + ", ".join(f"case when regexp_matches(lower(text), '\\b({'|'.join(w)})\\b') then '{k}' end" for k, w in names.DOMAINS.items()) + "], lambda x: x is not null)"
 
 
 @query(f"select conv_id, turn, array_to_string({_DOMAIN_SQL}, ',') as domains from conversations")
@@ -345,11 +392,6 @@ def page_texts(s, d):
     return table(s, d, "pages").select("page_id", urls.text_of(F.col("html")).alias("text"))
 
 
-@query()
-def page_blocks(s, d):
-    return table(s, d, "pages").select("page_id", F.posexplode(urls.blocks(F.col("html"))).alias("pos", "block"))
-
-
 # -- event logs ---------------------------------------------------------------------------------
 
 
@@ -399,16 +441,6 @@ def span_sessions(s, d):
     return stateful.sessions(_log(s, d).select(F.col("provider").alias("group_id"), us.alias("start"), (us + F.col("seq") % 7 * 60_000_000).alias("end")), 7_200_000_000)
 
 
-@query()
-def token_bucket(s, d):
-    return stateful.token_bucket(_log(s, d), 1 / 7200, 3.0)
-
-
-@query()
-def circuit_breaker(s, d):
-    return stateful.breaker(_log(s, d), 2, 86400.0)
-
-
 _WINDOWED = "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"
 
 
@@ -434,3 +466,6 @@ def people_of_orgs(s, d):
 @query("select rtype, tier, label, structural, weak, cost from (values " + ", ".join(f"('{a}', {b}, '{c}', {str(e).lower()}, {str(f).lower()}, cast('{g}' as double))" for a, b, c, e, f, g in taxonomy.rows()) + ") t(rtype, tier, label, structural, weak, cost)")
 def relationship_types(s, d):
     return taxonomy.relationship_types(s)
+
+
+from kithgraph.plans import queries_text, queries_world  # noqa: E402, F401  (they register theirs)
