@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from kithgraph.llm import words
 #: Tokens after which a block ends with the document at hand; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 18
 #: Words whose ids a worker remembers; when there are more it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text that are encoded at a time, and rows that a worker gets at a time.
+PORTION, ROWS = 1 << 20, 1000
 TEMP = "kind byte, doc_id long, n long, ids binary"
 BLOCKS = "part int, seq int, before long, n_docs int, n_tokens long, missing binary, doc_ids binary, lengths binary, control binary, data binary"
 DECODED = "doc_id long, part int, in_part long, n_tokens long, ids_crc32 long"
@@ -174,7 +177,7 @@ def _encode(settings, end: int, vocabulary: int, width: type):
         encoder, counts = _encoders[key], np.zeros(vocabulary, np.int64)
         for batch in batches:
             at, data = words.text_buffers(batch.column(1))
-            for i, j in words.spans(at, 1 << 22):
+            for i, j in words.spans(at, PORTION):
                 raw = data[at[i] : at[j]].tobytes()
                 ids, size = encoder.encode([raw[a - at[i] : b - at[i]] for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)], end)
                 counts += np.bincount(ids, minlength=vocabulary)
@@ -242,6 +245,18 @@ def _read(id_of):
     return run
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Python gets so many rows at a time, so that two workers' batches of long texts are small beside an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 1, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the documents' ids to the folder ``out``; tokenizer is the path of a tokenizers file, end the id after each document."""
     spark = docs.sparkSession
@@ -253,7 +268,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 1, block_
     vocabulary = max(vocabulary, end + 1)
     width = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(_encode(spark.sparkContext.broadcast(settings), end, vocabulary, width), TEMP).write.mode("overwrite").parquet(f"{out}/temp")
+    with _batches(spark, ROWS):
+        rows.mapInArrow(_encode(spark.sparkContext.broadcast(settings), end, vocabulary, width), TEMP).write.mode("overwrite").parquet(f"{out}/temp")
     temp = spark.read.schema(TEMP).parquet(f"{out}/temp")
     # one row for each id of the vocabulary at most
     counts = temp.where("kind = 1").select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -264,7 +280,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 1, block_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = F.xxhash64("ids")
     rows = temp.where("kind = 0").select("doc_id", "n", "ids").repartitionByRange(parts, "doc_id", told).sortWithinPartitions("doc_id", told)
-    rows.mapInArrow(_write(spark.sparkContext.broadcast(rank_of), width, block_tokens), BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{out}/blocks")
+    with _batches(spark, ROWS):
+        rows.mapInArrow(_write(spark.sparkContext.broadcast(rank_of), width, block_tokens), BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{out}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
     blocks.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.mode("overwrite").parquet(f"{out}/parts")
     return out
