@@ -19,13 +19,14 @@ from pyspark.sql import Window as W
 
 from kithgraph.llm.scratch import Scratch
 
-#: Measure -> (its value in thousandths, the least spread that counts).
+#: Measure -> (its value in thousandths, the least spread that counts). Times ``spread`` it must lie below what the
+#: base rules allow, or the rule could reject nothing: 6 x 40 of 500 for repeated words.
 MEASURES = {
     "symbols": ("1000 * n_symbols div greatest(1, word_chars)", 15),
     "exclaims": ("1000 * n_exclaims div greatest(1, word_chars)", 15),
     "capitals": ("1000 * n_capitals div greatest(1, word_chars)", 60),
-    "dup_lines": ("1000 * n_dup_lines div greatest(1, n_lines)", 125),
-    "repeats": ("1000 * n_repeat_words div greatest(1, n_words)", 100),
+    "dup_lines": ("1000 * n_dup_lines div greatest(1, n_lines)", 60),
+    "repeats": ("1000 * n_repeat_words div greatest(1, n_words)", 40),
 }
 SPACE = "[\\x20\\x09-\\x0D]"
 

@@ -1,13 +1,14 @@
 """Tables that cut lineage: Parquet in the folder which driver and executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``. Only where a session names none
-(tests on one machine) a temporary folder is used.
+The folder is the one named by ``spark.checkpoint.dir``. Where a session names none, a temporary folder
+is used if it runs on one machine (tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if "dir" not in _local:
             _local["dir"] = "file://" + tempfile.mkdtemp(prefix="kith_")
         base = _local["dir"]

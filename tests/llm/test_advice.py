@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kithgraph.llm import licenses, mixing, quality_gam
+from kithgraph.llm import licenses, mixing, quality_gam, quality_rules
 from kithgraph.llm import secrets_automaton as secrets
 from kithgraph.llm.surrogates import with_surrogates
 
@@ -138,3 +138,22 @@ def test_a_score_is_the_sum_of_its_table_entries():
     for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
         total = total + t[wide[i], wide[j]]
     assert np.allclose(model.score(x), 1 / (1 + np.exp(-total)), atol=1e-9)
+
+
+def test_each_adaptive_rule_can_reject(spark):
+    r = np.random.default_rng(5)
+    word = lambda k: "".join(map(chr, r.integers(97, 123, k)))
+    text = lambda n: " ".join(word(6) for _ in range(n))
+    rows = [(i, "\n".join(text(20) for _ in range(10))) for i in range(60)]
+    phrase = text(40)
+    odd = {
+        "symbols": text(200) + " $$$$" * 60,
+        "exclaims": text(200) + "!!!!" * 60,
+        "capitals": " ".join(word(6).upper() if i % 2 else word(6) for i in range(200)),
+        "dup_lines": "\n".join(["a b", "c d", "e f"] * 4 + [text(60)]),
+        "repeats": " ".join([phrase, text(60), phrase, text(60)]),
+    }
+    rows += [(100 + k, t) for k, t in enumerate(odd.values())]
+    docs = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.broken for x in quality_rules.quality_rules(docs).collect()}
+    assert [got[100 + k] for k in range(len(odd))] == list(odd) and {got[i] for i in range(60)} == {""}
