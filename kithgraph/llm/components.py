@@ -1,9 +1,8 @@
 """Connected components of a DataFrame of links, by alternating large-star and small-star rounds.
 
 Each round is two grouped minima (combined before the shuffle) and two joins on the node. The links of a
-hub (a node with more than ``HUB`` links, or a ``MOST_HUBS``th of all if that is more) stay where they are:
-hubs are 2 x MOST_HUBS at most, or twice the links over HUB if those are few, and their minima are
-broadcast. A round's links are written to the shared folder, which cuts the lineage.
+hub (two numbers each, no texts) meet in one task of such a join; a round's links are written to the
+shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from kithgraph.llm.scratch import Scratch
 
 #: Links for which a task is set aside when a round is written.
 PER_TASK = 200_000
-#: Links of a node that are joined in one task, at least; hubs that are broadcast, at most (twice that, as links have two ends).
-HUB, MOST_HUBS = 256, 10_000
 
 
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
@@ -31,10 +28,12 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     held = pairs.count()
     while held:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, held).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        small = _with_least(large, held).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         k += 1
-        pairs = small.distinct()
+        pairs = small.unionByName(least.withColumnRenamed("m", "v")).distinct()
         pairs = scratch.save(pairs.coalesce(1 + held // PER_TASK), f"{tag}_{k}")
         scratch.drop(f"{tag}_{k - 1}")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -43,12 +42,3 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         seen, held = now, now[0]
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _with_least(links: DataFrame, held: int) -> DataFrame:
-    """(u, v, m): the links with the smallest v of each u."""
-    most = max(HUB, held // MOST_HUBS)
-    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
-    light = links.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
-    return light.select("u", "v", "m").unionByName(links.join(hubs, "u").select("u", "v", "m"))
