@@ -160,10 +160,11 @@ def routes(pairs: DataFrame, walk: DataFrame, banned: DataFrame | None = None, p
     done, slack, k = None, p.first_slack, 0
     while True:
         k += 1
-        found, waiting = _grown(waiting, slack, steps_, rest, most_hops, f"kr-{tag}-{k}")
+        reached = cut(_grown(waiting, slack, steps_, rest, most_hops, f"kr-{tag}-{k}"), f"kr-{tag}-{k}-reached")
+        found = reached.where("ends").select("src", "dst", "cost", (F.size("path") - 1).alias("hops"), "path")
         done = found if done is None else done.unionByName(found)
         enough = done.groupBy("src", "dst").agg(F.count("*").alias("n")).where(F.col("n") >= p.generated_routes)
-        waiting = cut(waiting.join(enough, ["src", "dst"], "left_anti"), f"kr-{tag}-{k}-waiting")
+        waiting = cut(reached.where("not ends").drop("ends").join(enough, ["src", "dst"], "left_anti"), f"kr-{tag}-{k}-waiting")
         if waiting.isEmpty():
             break
         slack *= p.more_slack
@@ -176,22 +177,22 @@ def routes(pairs: DataFrame, walk: DataFrame, banned: DataFrame | None = None, p
     return kept.where(F.col("rank") <= (shown or p.shown_routes))
 
 
-def _grown(waiting: DataFrame, slack: float, steps_: DataFrame, rest: DataFrame, most_hops: int, tag: str) -> tuple[DataFrame, DataFrame]:
-    """The routes that partial routes grow into within ``slack`` of their pair's best, and the partial routes beyond it, which wait for a larger one."""
+def _grown(waiting: DataFrame, slack: float, steps_: DataFrame, rest: DataFrame, most_hops: int, tag: str) -> DataFrame:
+    """What partial routes grow into: routes within ``slack`` of their pair's best (column ends is true), and those beyond it, which wait for a larger one."""
     ends = rest.select("dst", F.col("node").alias("next"), "h")
     inside = F.col("cost") + F.col("h") <= F.col("best") + slack + 1e-9
-    found, later, front, k = waiting.where(inside & (F.col("node") == F.col("dst"))), waiting.where(~inside), waiting.where(inside & (F.col("node") != F.col("dst"))), 0
+    going = inside & (F.col("node") != F.col("dst"))
+    held, front, k = waiting.where(~going), waiting.where(going), 0
     while True:
         k += 1
         grown = front.where(F.size("path") <= most_hops) if most_hops else front
         grown = grown.drop("h").join(steps_, "node").where(~F.array_contains("path", F.col("next"))).where("ban is null or next = dst").join(ends, ["dst", "next"])
         cost = F.round(F.col("cost") + F.col("w") + F.when(F.col("next") == F.col("dst"), 0.0).otherwise(F.col("enter")), 9)
         grown = cut(grown.select("src", "dst", "best", F.col("next").alias("node"), cost.alias("cost"), F.concat("path", F.array("next")).alias("path"), "h"), f"{tag}-{k}")
-        found, later = found.unionByName(grown.where(inside & (F.col("node") == F.col("dst")))), later.unionByName(grown.where(~inside))
-        front = grown.where(inside & (F.col("node") != F.col("dst")))
+        held, front = held.unionByName(grown.where(~going)), grown.where(going)
         if front.isEmpty():
             break
-    return found.select("src", "dst", "cost", (F.size("path") - 1).alias("hops"), "path"), later
+    return held.withColumn("ends", inside)
 
 
 def bridges(path: Column) -> Column:
