@@ -262,10 +262,10 @@ def rank_frontier(candidates: DataFrame, fanout: int = DEFAULT.fanout, prefer_no
     return ranked.where(F.col("rank") <= fanout).select("owner", "person", "rank")
 
 
-def dual_distances(roots: DataFrame, adj: DataFrame, without: str = "co_star") -> DataFrame:
-    """(root, node, hops, direct): fewest steps, and the fewest without ties of a type (null where there are none)."""
+def dual_distances(roots: DataFrame, adj: DataFrame, without: str = "co_star", most: int = 0) -> DataFrame:
+    """(root, node, hops, direct): fewest steps, and the fewest without ties of a type (null where there are none); most: as of ``hop_distances``."""
     pairs = neighbours(adj, "rtype")
-    every, some = hop_distances(roots, pairs), hop_distances(roots, pairs.where(F.col("rtype") != without))
+    every, some = hop_distances(roots, pairs, most), hop_distances(roots, pairs.where(F.col("rtype") != without), most)
     return every.join(some.withColumnRenamed("hops", "direct"), ["root", "node"], "left")
 
 
