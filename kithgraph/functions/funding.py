@@ -67,7 +67,10 @@ def mentions(texts: DataFrame) -> DataFrame:
     span = F.regexp_extract(F.substring("after", 1, SPAN), f"(?is)^(.*?)(?:{STOPS}|$)", 1)
     rows = rows.withColumn("span", F.when(F.col("kind") == "led", F.regexp_extract("what", _LED, 1)).otherwise(span))
     size = F.length("what") + F.when(F.col("kind") == "led", 0).otherwise(F.length("span"))
-    return rows.select("id", F.col("at").alias("start"), (F.col("at") + size).alias("end"), investors_in(F.col("span")).alias("investors")).where("size(investors) > 0")
+    rows = rows.select("id", F.col("at").alias("start"), (F.col("at") + size).alias("end"), "span")
+    # equal spans (a release that many sites print) are judged once; the join deals them by span and splits a frequent one
+    judged = rows.select("span").distinct().select("span", investors_in(F.col("span")).alias("investors"))
+    return rows.hint("merge").join(judged.where("size(investors) > 0"), "span").select("id", "start", "end", "investors")
 
 
 def clusters(found: DataFrame, gap: int = GAP) -> DataFrame:
@@ -76,11 +79,11 @@ def clusters(found: DataFrame, gap: int = GAP) -> DataFrame:
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     rows = found.withColumn("cluster", F.sum(F.when(before.isNull() | (F.col("start") - before > gap), 1).otherwise(0)).over(order))
     each = rows.select("id", "cluster", "start", "end", F.posexplode("investors").alias("pos", "name")).withColumn("key", names.org_key(F.col("name")))
-    spans = each.groupBy("id", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    first = each.groupBy("id", "cluster", "key").agg(F.min(F.struct("start", "end", "pos", "name")).alias("f")).where("key <> ''")
-    held = F.sort_array(F.collect_list(F.struct("f.start", "f.end", "f.pos", "f.name", "key")))
-    lists = first.groupBy("id", "cluster").agg(held.alias("held"))
-    return spans.join(lists, ["id", "cluster"]).select("id", "cluster", "start", "end", F.transform("held", lambda x: x["name"]).alias("investors"), F.transform("held", lambda x: x["key"]).alias("keys"))
+    first = each.groupBy("id", "cluster", "key").agg(F.min(F.struct("start", "end", "pos", "name")).alias("f"), F.max("end").alias("end"))
+    # a key that is empty counts for the span alone
+    held = F.sort_array(F.collect_list(F.when(F.col("key") != "", F.struct("f.start", "f.end", "f.pos", "f.name", "key"))))
+    lists = first.groupBy("id", "cluster").agg(F.min("f.start").alias("start"), F.max("end").alias("end"), held.alias("held")).where("size(held) > 0")
+    return lists.select("id", "cluster", "start", "end", F.transform("held", lambda x: x["name"]).alias("investors"), F.transform("held", lambda x: x["key"]).alias("keys"))
 
 
 def rounds(texts: DataFrame, target: str | None = None) -> DataFrame:
@@ -91,7 +94,8 @@ def rounds(texts: DataFrame, target: str | None = None) -> DataFrame:
     """
     found = clusters(mentions(texts.select("id", "text")))
     few = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("id"))).where(F.col("n") <= MOST_ROUNDS)
-    rows = few.join(texts.select("id", "text", *([F.col(target).alias("target")] if target else [])), "id")
+    # texts are larger than Spark's estimates of them: they are dealt by id, never broadcast
+    rows = few.hint("merge").join(texts.select("id", "text", *([F.col(target).alias("target")] if target else [])), "id")
     if target:
         rows = rows.where(F.array_contains("keys", F.col("target")))
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("start"))).where("k = 1")

@@ -201,7 +201,9 @@ _NEWS = """concat('Blue', cast(p_partkey as varchar(9)), ' raises $', cast(p_siz
 
 @query("""select p_partkey as id, 'Blue' || p_partkey as company, '$' || p_size || 'M' as amount, case p_size % 4 when 0 then 'Acme Ventures|North Fund|Lund Capital' else 'Storm Ventures|North Fund' end as investors from part where p_size % 4 in (0, 2)""")
 def announced_rounds(s, d):
-    found = funding.rounds(table(s, d, "part").selectExpr("p_partkey as id", f"{_NEWS} as text"))
+    # few bytes make many texts: rows are dealt before they are made, so that more than a task or two reads them
+    rows = table(s, d, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    found = funding.rounds(rows.selectExpr("p_partkey as id", f"{_NEWS} as text"))
     return found.select("id", "company", "amount", F.array_join("investors", "|").alias("investors"))
 
 
