@@ -18,8 +18,11 @@ very text came before, or if it is the first of its text and a text within ``edi
 Lines without a word stay. Texts are told apart by 96 bits of hash. All of it is SQL functions: no Python
 runs on rows.
 
-What is shuffled: hashes of segments, and each distinct line's text once for every task that reads it.
-A very common line is one row a task. Texts are kept only of lines that share a segment with another.
+What is shuffled: for each distinct line and task that reads it one row of hashes (the line's and its
+segments'), then each segment's hash; a very common line is one row a task. Texts are fetched in a second pass
+over the rows, once the lists are known: a broadcast table of bits (``WORDS`` rows at most) leaves out nearly
+all lines that share no segment with another. Where so many do that its bits fill up, it leaves out fewer, and
+what is found stays the same.
 The plan is the same at every size (sort-merge joins, which split a skewed key).
 
 Nulls: a null text has no lines; null ids come first in the order. Rows that repeat both id and text are
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from kithgraph.llm.scratch import Scratch
 
 _SPACE = "[^\\x20\\x09-\\x0D]"
+#: Words of 64 bits in a table of bits; a power of two.
+WORDS = 1 << 18
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,20 +111,23 @@ def _judged(rows: DataFrame, edits: int, least: int, short: int, tmp: Scratch) -
     """Places (at, pos) of each text's first occurrence, and of those that a near text precedes."""
     lines = rows.select("at", F.posexplode("lines").alias("pos", "line")).where(F.col("line").rlike(_SPACE))
     lines = lines.withColumn("id", F.struct(F.xxhash64("line").alias("h"), F.hash("line").alias("c")))
-    usable = lines.withColumn("n", F.length("line")).where(F.col("n") >= least)
-    keys = usable.select("id", F.explode(segment_keys("line", "n", edits)).alias("s")).select("s.key", "id", "s.role")
-    keys = tmp.save(keys.groupBy("key", "id").agg(F.min("role").alias("role")), "keys")
+    held = lines.withColumn("n", F.length("line")).withColumn("keys", F.when(F.col("n") >= least, segment_keys("line", "n", edits)["key"]))
+    # one row for each text, without the text: it is fetched once the lists say which are needed
+    firsts = held.groupBy("id").agg(F.min(F.struct("at", "pos", "keys")).alias("first"))
+    firsts = tmp.save(firsts.select("id", "first.*"), "firsts")
+    tmp.release()
+    # a line's own segments come first; of a key that a line has twice the first counts
+    keys = firsts.select("id", "keys", F.posexplode("keys").alias("i", "key")).where("array_position(keys, key) = i + 1")
+    keys = keys.select("key", "id", F.when(F.col("i") <= edits, 0).otherwise(1).alias("role"))
     lists = keys.groupBy("key").agg(F.count("*").alias("held"), F.min("role").alias("least_role")).where("held > 1 and least_role = 0").select("key", "held")
-    shared = tmp.save(keys.hint("merge").join(lists, "key"), "shared")
-    tmp.drop("keys")
+    lists = tmp.save(lists, "lists")
+    shared = tmp.save(_likely(keys, "key", lists, tmp, "key_bits").hint("merge").join(lists, "key"), "shared")
+    tmp.drop("lists", "key_bits")
     tmp.release()
-    # one row for each text; the text itself stays where a list needs it
-    wanted = shared.select("id").distinct().withColumn("wanted", F.lit(True))
-    firsts = lines.groupBy("id").agg(F.min(F.struct("at", "pos")).alias("first"), F.min("line").alias("line"))
-    firsts = firsts.hint("merge").join(wanted, "id", "left").select("id", "first", F.when(F.col("wanted"), F.col("line")).alias("line"))
-    firsts = tmp.save(firsts, "firsts")
+    texts = _likely(lines, "id.h", shared, tmp, "text_bits").groupBy("id").agg(F.min(F.struct("at", "pos")).alias("first"), F.min("line").alias("line"))
+    texts = tmp.save(texts, "texts")
+    tmp.drop("text_bits")
     tmp.release()
-    texts = firsts.where("line is not null")
     few = shared.where(F.col("held") <= short)
     pairs = _pairs(few, "key")
     many = shared.where(F.col("held") > short).select("key", "id")
@@ -130,7 +138,16 @@ def _judged(rows: DataFrame, edits: int, least: int, short: int, tmp: Scratch) -
     side = lambda k: texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"), F.col("first").alias(f"first_{k}"))
     known = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").where(banded_distance("line_a", "line_b", edits) <= edits)
     late = tmp.save(known.select(F.greatest("first_a", "first_b").alias("first")).distinct(), "late")
-    return firsts.select("first.*"), late.select("first.*")
+    tmp.drop("shared", "texts", "pairs")
+    return firsts.select("at", "pos"), late.select("first.*")
+
+
+def _likely(rows: DataFrame, h: str, wanted: DataFrame, tmp: Scratch, name: str) -> DataFrame:
+    """The rows whose hash h is one of ``wanted``, and some others: a later join decides. What is broadcast is bounded: a table of at most WORDS words of 64 bits."""
+    word = F.col(h).bitwiseAND(F.lit(WORDS - 1))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, 58) as int))")
+    bits = tmp.save(wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), name)
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
 
 
 def _pairs(rows: DataFrame, key: str) -> DataFrame:

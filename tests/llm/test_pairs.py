@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from kithgraph.llm import minhash, words
+from kithgraph.llm import line_dedup, minhash, words
 from kithgraph.llm.components import components
 from kithgraph.llm.line_dedup import banded_distance, line_classes, line_report, without_repeated_lines
 from kithgraph.llm.minhash import near_duplicates, shared
@@ -188,6 +188,33 @@ def test_lines(spark, edits):
             assert rest[d] == "\n".join(x for p, x in enumerate(t.split("\n")) if not any(expect.get((d, p), (False, False))))
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_when_the_bits_leave_nothing_out(spark, monkeypatch, edits):
+    monkeypatch.setattr(line_dedup, "WORDS", 1)
+    test_lines(spark, edits)
+
+
+def shuffled(spark, run):
+    """Bytes that run's stages write to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+    stages = lambda: [(s.stageId(), s.shuffleWriteBytes()) for s in (found.apply(i) for found in [store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)] for i in range(found.size()))]
+    before = max((k for k, _ in stages()), default=-1)
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages() if k > before)
+
+
+def test_lines_without_a_like_are_not_shuffled(spark):
+    r = random.Random(8)
+    lines = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(1000)) for _ in range(500)]
+    lines[300] = lines[7][:400] + "x" + lines[7][401:]
+    frame = spark.createDataFrame(list(enumerate("\n".join(lines[i : i + 5]) for i in range(0, 500, 5))), "doc_id long, text string")
+    got = []
+    assert shuffled(spark, lambda: got.extend(line_report(frame).collect())) < 0.2 * sum(len(x.encode()) for x in lines)
+    assert {(x.doc_id, x.dropped) for x in got if x.dropped} == {(60, "0")} and sum(x.n_near for x in got) == 1
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance(spark, edits):
     r = random.Random(edits)
